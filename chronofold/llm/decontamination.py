@@ -34,11 +34,11 @@ from chronofold.llm._common import Bounded, rows_in, words_of
 
 K1, B = 1.2, 0.75
 #: Share of an item's score against itself.
-THRESHOLD = 0.5
+THRESHOLD = 0.6
 #: Share of the question's, and of the answer's, word 3-grams.
 OVERLAP = 0.6
 LEAST_WIDTH = 64
-COARSE, FINE = 16, 8
+COARSE, FINE = 100, 8
 PART, PART_BYTES = 50_000, 32_000_000
 END = 1 << 60
 

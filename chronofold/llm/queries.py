@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronofold.llm import byte_bpe, quality_rules, url_filters
+from chronofold.llm import byte_bpe, decontamination, quality_classifier, quality_rules, url_filters
 from chronofold.llm._common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +17,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents")).drop("source", "host_rate")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read_table(spark, sf_dir, "pages"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality_classifier.train(docs, read_table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs, model).withColumn("held_out", quality_classifier.held_out(F.col("doc_id")))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(read_table(spark, sf_dir, "documents"), *byte_bpe.vocabulary())
 
