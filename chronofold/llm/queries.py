@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import byte_bpe, decontamination, quality_classifier, quality_rules, url_filters
+from chronofold.llm import byte_bpe, decontamination, jaccard_join, quality_classifier, quality_rules, url_filters
 from chronofold.llm._common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(read_table(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read_table(spark, sf_dir, "pages"))
 
@@ -40,4 +44,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op8_url_filters": url_filters.ORACLE_SQL}
+    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op5_jaccard_join": jaccard_join.ORACLE_SQL, "op8_url_filters": url_filters.ORACLE_SQL}
