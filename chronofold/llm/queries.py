@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import byte_bpe, decontamination, jaccard_join, quality_classifier, quality_rules, url_filters
+from chronofold.llm import byte_bpe, decontamination, html_extraction, jaccard_join, quality_classifier, quality_rules, url_filters
 from chronofold.llm._common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return html_extraction.extract(pages, html_extraction.train(pages))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(read_table(spark, sf_dir, "documents"))
 
