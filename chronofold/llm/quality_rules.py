@@ -30,23 +30,23 @@ MAX_HOST_RATE = 0.5
 PRIOR = (1.0, 1000.0)
 
 
-def _base(df: DataFrame) -> DataFrame:
-    """doc_id, source and the four counts, n_words first."""
+def _base(df: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, source, n_words, the four counts and the columns to carry along."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \t-\r]"))
     df = df.select(
-        "doc_id", "source", words_col(F.col("text")).alias("w"), lines.alias("lines"),
+        *carry, "doc_id", "source", words_col(F.col("text")).alias("w"), lines.alias("lines"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
     df = df.select(
-        "doc_id", "source", "word_chars", "n_symbols", F.size("w").cast("long").alias("n_words"),
+        *carry, "doc_id", "source", "word_chars", "n_symbols", F.size("w").cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("w") < 3, F.expr("cast(array() as array<bigint>)")).otherwise(F.expr("transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))")).alias("h"),
     )
     # Only texts that repeat a window at all go on: their windows in order of hash, then the places of those that have an equal neighbour.
     repeats = F.size("h") > F.size(F.array_distinct("h"))
-    keep = ["doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    keep = [*carry, "doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
     df = df.select(*keep, F.when(repeats, F.expr("sort_array(transform(h, (x, i) -> struct(x, i)))")).alias("s"))
     df = df.select(*keep, F.when(F.col("s").isNotNull(), F.expr("""
         sort_array(transform(filter(sequence(0, size(s) - 1), i -> (i > 0 and s[i].x = get(s, i - 1).x) or (i < size(s) - 1 and s[i].x = get(s, i + 1).x)), i -> s[i].i))
@@ -83,6 +83,18 @@ def judge(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("host_rate") <= MAX_HOST_RATE)).alias("kept"), "source", "host_rate")
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that judge() keeps.
+
+    Rows and their base verdicts are written once; then failures are summed by host and refused hosts, which are few,
+    leave by an anti join, so the texts move only if Spark measures these hosts as too many to broadcast.
+    """
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "doc_id", "source", "text")
+    base = materialize(_base(own, "row").select("row", "source", base_failed().alias("base_failed")))
+    refused = host_rates(base).filter(F.col("host_rate") > MAX_HOST_RATE).select(F.col("source").alias("host"))
+    return base.filter("NOT base_failed").join(refused, F.col("source").eqNullSafe(F.col("host")), "left_anti").select("row.*")
+
+
 ORACLE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS text FROM documents),
 t AS (SELECT k, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
