@@ -52,7 +52,9 @@ BLOCK = 512
 #: Light sets are at most this large, whatever the costs say; scanning a posting costs so much more than making a subset.
 MOST_LIGHT, LIST_COST = 12, 5
 
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Odd factors: powers of the golden ratio's.
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, N + 1)], np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,16 +70,25 @@ class Shingler:
     def __init__(self):
         self.hash_of = Bounded(lambda w: xxhash.xxh64_intdigest(w))
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not words:
-            return np.empty(0, np.uint64)
-        h = np.fromiter(map(self.hash_of.__getitem__, words), np.uint64, len(words))
-        n = min(N, len(words))
-        x = np.full(len(h) - n + 1, n, np.uint64)
-        for k in range(n):
-            x = _mix(x * _A + h[k : len(h) - n + 1 + k])
-        return np.unique(x)
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """One array per text. Words are hashed once; a shingle is the mixed sum of its words' hashes, each times a factor of its place."""
+        if not texts:
+            return []
+        words = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
+        h = np.concatenate([np.fromiter(map(self.hash_of.__getitem__, w), np.uint64, len(w)) for w in words])
+        full = np.zeros(max(0, len(h) - N + 1), np.uint64)
+        for k in range(N):
+            full += h[k : len(full) + k] * _FACTORS[k]
+        full, out, at = _mix(full), [], 0
+        for w in words:
+            n = min(N, len(w))
+            if n == N:
+                x = np.sort(full[at : at + len(w) - N + 1])
+                out.append(x[np.append(True, x[1:] != x[:-1])])
+            else:
+                out.append(_mix((h[at : at + n] * _FACTORS[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n))[: 1 if n else 0])
+            at += len(w)
+        return out
 
 
 def least_overlap(s: int, t: int) -> int:
@@ -107,7 +118,7 @@ def choose_boundary(histogram: dict[int, int]) -> int:
 
 def signatures(s: np.ndarray, level: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of inverted lists and keys of subsets of one set."""
-    first = s[np.lexsort((s, level[(s % np.uint64(SKETCH)).astype(np.int64)]))[: prefix_length(len(s))]]
+    first = s[np.argsort(level[(s % np.uint64(SKETCH)).astype(np.int64)], kind="stable")[: prefix_length(len(s))]]  # s is sorted: ties go by hash
     if len(s) > light:
         return first, np.empty(0, np.uint64)
     subs = [_fold(np.array(x, np.uint64), c) for c in subset_sizes(len(s)) for x in combinations(s.tolist(), c)]
@@ -125,7 +136,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         shingle, sketch = Shingler(), np.zeros(SKETCH, np.int64)
         for ids, texts in rows_in(batches, "doc_id", "text", size=200):
-            sets = [shingle(t) for t in texts]
+            sets = shingle(texts)
             np.add.at(sketch, (np.concatenate(sets) % np.uint64(SKETCH)).astype(np.int64), 1)
             digest = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), "<i8").reshape(-1, 2)
             none = pa.nulls(len(ids))
@@ -162,7 +173,7 @@ def _postings(docs: DataFrame, level: np.ndarray, light: int) -> DataFrame:
     def run(batches):
         shingle = Shingler()
         for ids, texts in rows_in(batches, "doc_id", "text", size=200):
-            rows = [(i, len(s), *signatures(s, shipped.value, light)) for i, t in zip(ids, texts, strict=True) if i is not None and len(s := shingle(t))]
+            rows = [(i, len(s), *signatures(s, shipped.value, light)) for i, s in zip(ids, shingle(texts), strict=True) if i is not None and len(s)]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64()), "lists": pa.array([r[2].view(np.int64) for r in rows], pa.list_(pa.int64())), "subsets": pa.array([r[3].view(np.int64) for r in rows], pa.list_(pa.int64()))})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, lists array<long>, subsets array<long>")
@@ -241,6 +252,7 @@ def _checked(groups: DataFrame, texts: DataFrame, partitions: int) -> DataFrame:
 
     def run(batches):
         shingle = Shingler()
+        kept: dict[int, np.ndarray] = {}  # sets of some nodes; a node stands in several groups
         for _, group in _runs(batches, 3):
             seen: dict[int, tuple] = {}
             for node, comp, minor, text in group:
@@ -248,7 +260,11 @@ def _checked(groups: DataFrame, texts: DataFrame, partitions: int) -> DataFrame:
             nodes = list(seen)
             if len(nodes) < 2:
                 continue
-            found = links([shingle(seen[k][2]) for k in nodes], [seen[k][0] for k in nodes], np.array([seen[k][1] for k in nodes]))
+            if len(kept) > 4 * BLOCK:
+                kept.clear()
+            new = [k for k in nodes if k not in kept]
+            kept.update(zip(new, shingle([seen[k][2] for k in new]), strict=True))
+            found = links([kept[k] for k in nodes], [seen[k][0] for k in nodes], np.array([seen[k][1] for k in nodes]))
             yield pa.RecordBatch.from_pydict({"a": pa.array([min(nodes[x], nodes[y]) for x, y in found], pa.int64()), "b": pa.array([max(nodes[x], nodes[y]) for x, y in found], pa.int64())})
 
     return rows.mapInArrow(run, "a long, b long")
@@ -267,7 +283,7 @@ def connected(edges: DataFrame) -> DataFrame:
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(below.select("u", F.col("m").alias("v"))).distinct()
         after = materialize(small)
-        same = "count(*) AS n", "coalesce(sum(pmod(xxhash64(u, v), 1152921504606846976)), 0) AS h"
+        same = "count(*) AS n", "bit_xor(xxhash64(u, v)) AS h"
         done = now.selectExpr(*same).first() == after.selectExpr(*same).first()
         unmaterialize(now)
         now = after
