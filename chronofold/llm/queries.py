@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import byte_bpe, decontamination, html_extraction, jaccard_join, quality_classifier, quality_rules, url_filters
+from chronofold.llm import byte_bpe, decontamination, html_extraction, jaccard_join, license_scan, quality_classifier, quality_rules, token_counts, url_filters
 from chronofold.llm._common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents")).drop("source", "host_rate")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -30,6 +34,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(read_table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.suffix_sums(token_counts.histogram(read_table(spark, sf_dir, "documents"), *byte_bpe.vocabulary()))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read_table(spark, sf_dir, "pages"))
 
@@ -49,4 +57,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op5_jaccard_join": jaccard_join.ORACLE_SQL, "op8_url_filters": url_filters.ORACLE_SQL}
+    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op2_license_scan": license_scan.oracle_sql(), "op5_jaccard_join": jaccard_join.ORACLE_SQL, "op8_url_filters": url_filters.ORACLE_SQL}
