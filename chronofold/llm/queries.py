@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import byte_bpe, decontamination, html_extraction, jaccard_join, license_scan, quality_classifier, quality_rules, token_counts, url_filters
+from chronofold.llm import byte_bpe, chat_format, decontamination, html_extraction, jaccard_join, license_scan, quality_classifier, quality_rules, token_counts, url_filters
 from chronofold.llm._common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(read_table(spark, sf_dir, "documents"), *byte_bpe.vocabulary()))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chat(read_table(spark, sf_dir, "conversations"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read_table(spark, sf_dir, "pages"))
 
@@ -57,4 +61,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op2_license_scan": license_scan.oracle_sql(), "op5_jaccard_join": jaccard_join.ORACLE_SQL, "op8_url_filters": url_filters.ORACLE_SQL}
+    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op2_license_scan": license_scan.oracle_sql(), "op5_jaccard_join": jaccard_join.ORACLE_SQL, "op7_chat_format": chat_format.ORACLE_SQL, "op8_url_filters": url_filters.ORACLE_SQL}
