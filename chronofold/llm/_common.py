@@ -34,6 +34,8 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # shuffle files of what is now written go once the driver's garbage is collected, which may else be long in coming
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm._common import Bounded, materialize, rows_in, unmaterialize
+from chronofold.llm._common import materialize, rows_in, unmaterialize
 
 N = 5
 #: Similarity in percent.
@@ -67,15 +67,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Texts to sorted arrays of distinct shingle hashes."""
 
-    def __init__(self):
-        self.hash_of = Bounded(lambda w: xxhash.xxh64_intdigest(w))
-
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        """One array per text. Words are hashed once; a shingle is the mixed sum of its words' hashes, each times a factor of its place."""
+        """One array per text. A shingle is the mixed sum of its words' hashes, each times a factor of its place."""
         if not texts:
             return []
         words = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-        h = np.concatenate([np.fromiter(map(self.hash_of.__getitem__, w), np.uint64, len(w)) for w in words])
+        h = np.concatenate([np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)) for w in words])
         full = np.zeros(max(0, len(h) - N + 1), np.uint64)
         for k in range(N):
             full += h[k : len(full) + k] * _FACTORS[k]
@@ -305,9 +302,13 @@ def components(docs: DataFrame) -> DataFrame:
     keys = materialize(_postings(docs, level, light).join(reps, ["doc_id", "n"], "left_semi"))
     postings = keys.select(F.col("doc_id").alias("node"), "n", F.explode("lists").alias("key"), F.lit(0).alias("kind")).unionByName(
         keys.select(F.col("doc_id").alias("node"), "n", F.explode("subsets").alias("key"), F.lit(1).alias("kind")))
-    hubs = postings.groupBy("kind", "key").agg(F.min(F.struct("n", "node")).alias("hub"), F.max(F.struct("n", "node")).alias("last")).filter("hub != last").select("kind", "key", F.col("hub.node").alias("hub"))
-    stars = materialize(postings.join(hubs, ["kind", "key"]).filter("node != hub").groupBy("hub", "node").agg(F.count(F.lit(1)).alias("shared")).select("hub", "node"))
+    # most keys occur once: count them first (summed before the shuffle), so that only the others go on
+    common = postings.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("kind", "key")
+    postings = materialize(postings.join(common, ["kind", "key"], "left_semi"))
     unmaterialize(keys)
+    hubs = postings.groupBy("kind", "key").agg(F.min(F.struct("n", "node")).alias("hub")).select("kind", "key", F.col("hub.node").alias("hub"))
+    stars = materialize(postings.join(hubs, ["kind", "key"]).filter("node != hub").select("hub", "node").distinct())
+    unmaterialize(postings)
 
     blocks = stars.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = stars.join(blocks, "hub").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
