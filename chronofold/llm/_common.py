@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -48,6 +51,22 @@ def unmaterialize(df: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of at most 1000 rows from now on: whole texts may be long, and a batch is held in memory twice."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) > 1000:
+        conf.set(key, "1000")
+    return df
+
+
+def trim() -> None:
+    """Give memory back at the end of a task: workers are used again by later ones, beside the executor's own heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def words_col(text: Column) -> Column:
     """Words of a text, runs of anything but the code points 0x20 and 0x09 to 0x0D; a null text has none."""
     spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
@@ -65,12 +84,14 @@ def rows_in(batches: Iterable[pa.RecordBatch], *names: str, size: int = 2000) ->
         cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
         for k in range(0, batch.num_rows, size):
             yield [c.slice(k, size).to_pylist() for c in cols]
+        del batch, cols
+    trim()
 
 
 class Bounded(dict):
     """A memo table that starts anew when it is full; what it holds never changes a result, only the time."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 200_000):
         super().__init__()
         self.make, self.limit = make, limit
 

@@ -11,7 +11,8 @@ A size-aware heavy-light join. Equal sets fall into classes first; all else happ
   Light sets stand in the lists too, for their heavy partners.
 
 Lists may be long (thousands of near copies), so pairs are never emitted: the members of a list become a star around its
-smallest one (its hub), linear in the postings. Members of a hub are checked in blocks of at most BLOCK sets, all
+smallest one (its hub), linear in the postings. Members that by their sizes and small bitmaps can link with
+nobody on their list leave first; then, with their texts, members of a hub are checked in blocks of at most BLOCK sets, all
 pairs of a block at once, exactly, and only a spanning forest of the links is emitted. Where a hub has several blocks, members outside the
 hub's largest component meet every other block afterwards. So no pair of a list goes unchecked unless its
 ends are already connected. Components come from rounds of large-star and small-star steps over the forest's edges,
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm._common import materialize, rows_in, unmaterialize
+from chronofold.llm._common import lean, materialize, rows_in, unmaterialize
 
 N = 5
 #: Similarity in percent.
@@ -49,6 +50,8 @@ PERCENT = 80
 SKETCH, PARTS = 1 << 21, 64
 #: Sets that are checked against each other at once.
 BLOCK = 512
+#: Bits of the bitmap by which members of a list are compared before their texts are fetched.
+BITS = 1024
 #: Light sets are at most this large, whatever the costs say; scanning a posting costs so much more than making a subset.
 MOST_LIGHT, LIST_COST = 12, 5
 
@@ -142,7 +145,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         none = pa.nulls(len(rows)).cast(pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([k for k, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, hi long, lo long, part int, counts binary")
+    return lean(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, hi long, lo long, part int, counts binary")
 
 
 def _levels(sketches: DataFrame) -> np.ndarray:
@@ -163,17 +166,63 @@ def _levels(sketches: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Parities of a set's counts in BITS buckets: two bitmaps differ in no more bits than the sets differ in elements."""
+    return np.packbits(np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
 def _postings(docs: DataFrame, level: np.ndarray, light: int) -> DataFrame:
-    """Per document with shingles doc_id, n, digest, lists and subsets (arrays of keys)."""
+    """Per document with shingles doc_id, n, lists and subsets (arrays of keys) and bits."""
     shipped = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches):
         shingle = Shingler()
         for ids, texts in rows_in(batches, "doc_id", "text", size=200):
-            rows = [(i, len(s), *signatures(s, shipped.value, light)) for i, s in zip(ids, shingle(texts), strict=True) if i is not None and len(s)]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64()), "lists": pa.array([r[2].view(np.int64) for r in rows], pa.list_(pa.int64())), "subsets": pa.array([r[3].view(np.int64) for r in rows], pa.list_(pa.int64()))})
+            rows = [(i, len(s), *signatures(s, shipped.value, light), bitmap(s)) for i, s in zip(ids, shingle(texts), strict=True) if i is not None and len(s)]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64()), "lists": pa.array([r[2].view(np.int64) for r in rows], pa.list_(pa.int64())), "subsets": pa.array([r[3].view(np.int64) for r in rows], pa.list_(pa.int64())), "bits": pa.array([r[4] for r in rows], pa.binary())})
+
+    return lean(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, lists array<long>, subsets array<long>, bits binary")
+
+
+def may_link(n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Of sets with these sizes and bitmaps (rows of uint64), which may link with any other: no link is ever ruled out.
+
+    A link needs a union of at most 100 / PERCENT times the intersection; sets that differ in d elements have (s + t - d) / 2 in common.
+    """
+    out = np.zeros(len(n), bool)
+    for k in range(len(n)):
+        rest = slice(k + 1, None)
+        d = np.maximum(np.bitwise_count(bits[rest] ^ bits[k]).sum(1, dtype=np.int64), np.abs(n[rest] - n[k]))
+        hit = PERCENT * (n[rest] + n[k] + d) <= 100 * (n[rest] + n[k] - d)
+        if hit.any():
+            out[k] = True
+            out[rest] |= hit
+    return out
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, lists array<long>, subsets array<long>")
+
+def _likely(members: DataFrame, partitions: int) -> DataFrame:
+    """Members (hub, blocks, node, i, n, bits) without those whose sizes and bitmaps rule out any link in the whole list.
+
+    Only lists of one block are looked at; in others a member's partners may be elsewhere.
+    """
+    rows = members.repartition(partitions, "hub", "i").sortWithinPartitions("hub", "i", "node").select("hub", "i", "blocks", "node", "n", "bits")
+
+    def run(batches):
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for (hub, i), group in _runs(batches, 2):
+            if group[0][0] == 1:
+                n = np.array([g[2] for g in group], np.int64)
+                bits = np.frombuffer(b"".join(g[3] for g in group), np.uint64).reshape(len(group), -1)
+                group = [g for g, may in zip(group, may_link(n, bits), strict=True) if may]
+            for blocks, node, _, _ in group:
+                for column, value in zip(out, (hub, blocks, node, i), strict=True):
+                    column.append(value)
+            if len(out[0]) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32())], ["hub", "blocks", "node", "i"])
+                out = ([], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32())], ["hub", "blocks", "node", "i"])
+
+    return lean(rows).mapInArrow(run, "hub long, blocks int, node long, i int")
 
 
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -264,7 +313,7 @@ def _checked(groups: DataFrame, texts: DataFrame, partitions: int) -> DataFrame:
             found = links([kept[k] for k in nodes], [seen[k][0] for k in nodes], np.array([seen[k][1] for k in nodes]))
             yield pa.RecordBatch.from_pydict({"a": pa.array([min(nodes[x], nodes[y]) for x, y in found], pa.int64()), "b": pa.array([max(nodes[x], nodes[y]) for x, y in found], pa.int64())})
 
-    return rows.mapInArrow(run, "a long, b long")
+    return lean(rows).mapInArrow(run, "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -305,7 +354,6 @@ def components(docs: DataFrame) -> DataFrame:
     # most keys occur once: count them first (summed before the shuffle), so that only the others go on
     common = postings.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("kind", "key")
     postings = materialize(postings.join(common, ["kind", "key"], "left_semi"))
-    unmaterialize(keys)
     hubs = postings.groupBy("kind", "key").agg(F.min(F.struct("n", "node")).alias("hub")).select("kind", "key", F.col("hub.node").alias("hub"))
     stars = materialize(postings.join(hubs, ["kind", "key"]).filter("node != hub").select("hub", "node").distinct())
     unmaterialize(postings)
@@ -313,7 +361,9 @@ def components(docs: DataFrame) -> DataFrame:
     blocks = stars.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = stars.join(blocks, "hub").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     hub_rows = blocks.select("hub", "blocks", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-    members = materialize(members.select("hub", "blocks", "node", "i").unionByName(hub_rows))
+    members = members.select("hub", "blocks", "node", "i").unionByName(hub_rows).join(keys.select(F.col("doc_id").alias("node"), "n", "bits").dropDuplicates(["node"]), "node")
+    members = materialize(_likely(members, partitions))
+    unmaterialize(keys)
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     texts = materialize(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"))
 
