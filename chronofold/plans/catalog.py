@@ -1,11 +1,16 @@
-"""Registry of queries and of their SQL equivalents."""
+"""All queries of the library, and their SQL equivalents."""
+
+from __future__ import annotations
+
+from chronofold.plans import search, temporal  # noqa: F401
+from chronofold.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "states_asof"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
