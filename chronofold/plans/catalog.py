@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronofold.plans import search, temporal  # noqa: F401
+from chronofold.plans import relations, search, temporal, upkeep  # noqa: F401
 from chronofold.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "states_asof"
