@@ -48,10 +48,12 @@ N = 5
 PERCENT = 80
 #: Counters of the sketch, and into how many rows it is cut.
 SKETCH, PARTS = 1 << 21, 64
+#: Bits of the filter over the ids of documents whose texts are fetched (half a megabyte).
+FILTER = 1 << 22
 #: Sets that are checked against each other at once.
 BLOCK = 512
-#: Bits of the bitmap by which members of a list are compared before their texts are fetched.
-BITS = 1024
+#: Least and most bits of the bitmaps by which members of a list are compared before their texts are fetched.
+BITS = (1024, 1 << 17)
 #: Light sets are at most this large, whatever the costs say; scanning a posting costs so much more than making a subset.
 MOST_LIGHT, LIST_COST = 12, 5
 
@@ -167,8 +169,12 @@ def _levels(sketches: DataFrame) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parities of a set's counts in BITS buckets: two bitmaps differ in no more bits than the sets differ in elements."""
-    return np.packbits(np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+    """Parities of a set's counts in buckets: two bitmaps differ in no more bits than the sets differ in elements.
+
+    The number of buckets, a power of two, is at least twice the set's size (within BITS); a bitmap folds to half its length by xor.
+    """
+    n = min(BITS[1], max(BITS[0], 1 << (2 * len(s) - 1).bit_length()))
+    return np.packbits(np.bincount((s % np.uint64(n)).astype(np.int64), minlength=n).astype(np.uint8) & 1).tobytes()
 
 
 def _postings(docs: DataFrame, level: np.ndarray, light: int) -> DataFrame:
@@ -184,19 +190,35 @@ def _postings(docs: DataFrame, level: np.ndarray, light: int) -> DataFrame:
     return lean(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, lists array<long>, subsets array<long>, bits binary")
 
 
-def may_link(n: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Of sets with these sizes and bitmaps (rows of uint64), which may link with any other: no link is ever ruled out.
+def may_link(n: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    """Of sets with these sizes and bitmaps, which may link with any other: no link is ever ruled out.
 
-    A link needs a union of at most 100 / PERCENT times the intersection; sets that differ in d elements have (s + t - d) / 2 in common.
+    Sets of sizes s and t that differ in d elements have (s + t - d) / 2 in common, and link if PERCENT (s + t + d) <= 100 (s + t - d).
     """
     out = np.zeros(len(n), bool)
-    for k in range(len(n)):
-        rest = slice(k + 1, None)
-        d = np.maximum(np.bitwise_count(bits[rest] ^ bits[k]).sum(1, dtype=np.int64), np.abs(n[rest] - n[k]))
-        hit = PERCENT * (n[rest] + n[k] + d) <= 100 * (n[rest] + n[k] - d)
-        if hit.any():
-            out[k] = True
-            out[rest] |= hit
+    width = np.array([len(b) for b in bits])
+    own = {w: np.flatnonzero(width == w) for w in set(width.tolist())}
+    rows = {w: np.frombuffer(b"".join(bits[k] for k in ks), np.uint64).reshape(len(ks), -1) for w, ks in own.items()}
+
+    def fold(m: np.ndarray, w: int) -> np.ndarray:
+        while m.shape[-1] * 8 > w:
+            m = m[..., : m.shape[-1] // 2] ^ m[..., m.shape[-1] // 2 :]
+        return m
+
+    for a in sorted(own):
+        for b in sorted(w for w in own if w >= a):
+            m, other = rows[a], fold(rows[b], a)
+            for x, k in enumerate(own[a]):
+                near = PERCENT * np.maximum(n[own[b]], n[k]) <= 100 * np.minimum(n[own[b]], n[k])
+                if a == b:
+                    near[x] = False
+                near = np.flatnonzero(near)
+                if len(near):
+                    d = np.bitwise_count(other[near] ^ m[x]).sum(1, dtype=np.int64)
+                    both = n[own[b][near]] + n[k]
+                    hit = own[b][near[PERCENT * (both + d) <= 100 * (both - d)]]
+                    if len(hit):
+                        out[k] = out[hit] = True
     return out
 
 
@@ -211,9 +233,8 @@ def _likely(members: DataFrame, partitions: int) -> DataFrame:
         out: tuple[list, list, list, list] = ([], [], [], [])
         for (hub, i), group in _runs(batches, 2):
             if group[0][0] == 1:
-                n = np.array([g[2] for g in group], np.int64)
-                bits = np.frombuffer(b"".join(g[3] for g in group), np.uint64).reshape(len(group), -1)
-                group = [g for g, may in zip(group, may_link(n, bits), strict=True) if may]
+                may = may_link(np.array([g[2] for g in group], np.int64), [g[3] for g in group])
+                group = [g for g, ok in zip(group, may, strict=True) if ok]
             for blocks, node, _, _ in group:
                 for column, value in zip(out, (hub, blocks, node, i), strict=True):
                     column.append(value)
@@ -337,6 +358,19 @@ def connected(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is one of ids.
+
+    Before the join, rows pass a bitmap of FILTER bits over hashes of the ids: 4 KB by bucket, so its size is fixed. What it lets through in
+    error, the join drops; it only keeps texts from being shuffled for nothing.
+    """
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    marks = ids.select("doc_id", at.alias("at")).groupBy(F.expr("at DIV 32768").alias("_bucket")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("_marks"))
+    rows = docs.withColumn("_at", at).withColumn("_bucket", F.expr("_at DIV 32768")).join(F.broadcast(marks), "_bucket")
+    rows = rows.filter(F.expr("getbit(cast(conv(hex(substring(_marks, cast((_at % 32768) DIV 8 AS int) + 1, 1)), 16, 10) AS bigint), cast(_at % 8 AS int)) = 1"))
+    return rows.select(*docs.columns).join(ids, "doc_id", "left_semi")
+
+
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each document."""
     spark = docs.sparkSession
@@ -364,8 +398,8 @@ def components(docs: DataFrame) -> DataFrame:
     members = members.select("hub", "blocks", "node", "i").unionByName(hub_rows).join(keys.select(F.col("doc_id").alias("node"), "n", "bits").dropDuplicates(["node"]), "node")
     members = materialize(_likely(members, partitions))
     unmaterialize(keys)
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = materialize(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"))
+    wanted = materialize(members.select(F.col("node").alias("doc_id")).distinct())
+    texts = materialize(_among(docs.select("doc_id", "text"), wanted).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"))
 
     alone = members.select("hub", "i", F.lit(0).alias("j"), "node", F.col("node").alias("comp"), F.lit(True).alias("minor"))
     forest = materialize(_checked(alone, texts, partitions))
