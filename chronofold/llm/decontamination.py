@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm._common import Bounded, lean, rows_in, words_of
+from chronofold.llm._common import Bounded, lean, rows_in, trim, words_of
 
 K1, B = 1.2, 0.75
 #: Share of an item's score against itself.
@@ -260,7 +260,24 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     return find(docs, items).filter("verified").drop("verified")
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that hold no verified item."""
-    bad = leaks(docs, items).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, least: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that hold no verified item. Rows are judged where they are read: no join, no shuffle."""
+    for part in _parts(items):
+        built = indexes([(r.item_id, r.text) for r in part.collect()])
+        if not built:
+            continue
+        shipped = docs.sparkSession.sparkContext.broadcast(built)
+
+        def run(batches, shipped=shipped):
+            searchers = [Searcher(x, least) for x in shipped.value]
+            for batch in batches:
+                for k in range(0, batch.num_rows, 200):
+                    piece = batch.slice(k, 200)
+                    texts = piece.column(piece.schema.get_field_index("text")).to_pylist()
+                    found = [s(texts) for s in searchers]
+                    yield piece.filter(pa.array([not any(min(x[1:3]) >= OVERLAP for f in found for x in f[j].values()) for j in range(len(texts))], pa.bool_()))
+                del batch, piece, texts
+            trim()
+
+        docs = lean(docs).mapInArrow(run, docs.schema)
+    return docs

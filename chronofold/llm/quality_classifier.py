@@ -35,20 +35,38 @@ WIDTH = HASHED + SHAPES + 4
 SYMBOLS = b"#*$%&|<>"
 
 
-def shape(word: bytes) -> np.ndarray:
-    """Vector of one word."""
-    out = np.zeros(SHAPES + HASHED, np.float32)
+#: Bytes by kind, for counting what is left without them.
+_CONTINUED, _UPPER, _DIGITS, _HIGH = bytes(range(128, 192)), bytes(range(65, 91)), bytes(range(48, 58)), bytes(range(128, 256))
+_LETTERS = _UPPER + bytes(range(97, 123)) + _HIGH
+
+
+def shape(word: bytes) -> tuple[float, ...]:
+    """Measures of one word."""
     n = len(word)
-    chars = sum(b & 0xC0 != 0x80 for b in word)
-    alpha = sum(65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in word)
-    upper = sum(65 <= b <= 90 for b in word)
-    out[:SHAPES] = (
-        min(chars, 30) / 10, upper >= 2 and word == word.upper(), sum(48 <= b <= 57 for b in word) / n, sum(b in SYMBOLS for b in word) / n,
-        (n - alpha) / n, alpha == 0, upper == 1 and 65 <= word[0] <= 90, sum(b >= 128 for b in word) / n, b"!" in word, word[-1:] in b".,;:?", chars > 20,
+    without = word.translate
+    upper = n - len(without(None, _UPPER))
+    chars, other = len(without(None, _CONTINUED)), len(without(None, _LETTERS))
+    return (
+        min(chars, 30) / 10, upper >= 2 and word == word.upper(), (n - len(without(None, _DIGITS))) / n, (n - len(without(None, SYMBOLS))) / n,
+        other / n, other == n, upper == 1 and 65 <= word[0] <= 90, (n - len(without(None, _HIGH))) / n, b"!" in word, word[-1:] in b".,;:?", chars > 20,
     )
-    h = zlib.crc32(word.lower())
-    out[SHAPES + h % HASHED] = 1 if h & 0x10000 else -1
-    return out
+
+
+class _Ids(dict):
+    """Numbers of words; a new word enters its vector into the table of its encoder."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        e = self.encoder
+        if k >= len(e.table):
+            e.table = np.vstack([e.table, np.zeros_like(e.table)])
+        e.table[k, :SHAPES] = shape(word)
+        h = zlib.crc32(word.lower())
+        e.table[k, SHAPES + h % HASHED] = 1 if h & 0x10000 else -1
+        return k
 
 
 class Encoder:
@@ -59,16 +77,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.ids: dict[bytes, int] = {}
+        self.ids = _Ids(self)
         self.table = np.zeros((4096, SHAPES + HASHED), np.float32)
 
-    def _id(self, word: bytes) -> int:
-        k = self.ids[word] = len(self.ids)
-        if k >= len(self.table):
-            self.table = np.vstack([self.table, np.zeros_like(self.table)])
-        self.table[k] = shape(word)
-        return k
-
     def __call__(self, text: str | None) -> np.ndarray:
         """A row for each passage; one row of zeros for a text without words."""
         words = words_of(text)
@@ -76,8 +87,7 @@ class Encoder:
             return np.zeros((1, WIDTH), np.float32)
         if len(self.ids) > self.limit:
             self.forget()
-        known, new = self.ids, self._id
-        ids = np.fromiter((known[w] if w in known else new(w) for w in words), np.int64, len(words))
+        ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         starts = np.arange(0, len(ids), PASSAGE)
         n = np.diff(np.append(starts, len(ids))).astype(np.float32)
         out = np.empty((len(starts), WIDTH), np.float32)

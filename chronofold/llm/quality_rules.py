@@ -28,6 +28,8 @@ SYMBOLS = "#*$%&|<>"
 MAX_HOST_RATE = 0.5
 #: The prior counts as so many documents at least and at most.
 PRIOR = (1.0, 1000.0)
+#: Refused hosts, and bytes of their names, that are broadcast at most.
+MAX_BROADCAST = (200_000, 8_000_000)
 
 
 def _base(df: DataFrame, *carry: str) -> DataFrame:
@@ -86,13 +88,19 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that judge() keeps.
 
-    Rows and their base verdicts are written once; then failures are summed by host and refused hosts, which are few,
-    leave by an anti join, so the texts move only if Spark measures these hosts as too many to broadcast.
+    Rows and their base verdicts are written once; then failures are summed by host, and rows of refused hosts leave by an
+    anti join. Refused hosts are counted and measured first: within MAX_BROADCAST they are broadcast, so no text moves; beyond it
+    both sides are shuffled by host, where adaptive execution splits large hosts.
     """
     own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "doc_id", "source", "text")
     base = materialize(_base(own, "row").select("row", "source", base_failed().alias("base_failed")))
-    refused = host_rates(base).filter(F.col("host_rate") > MAX_HOST_RATE).select(F.col("source").alias("host"))
-    return base.filter("NOT base_failed").join(refused, F.col("source").eqNullSafe(F.col("host")), "left_anti").select("row.*")
+    refused = materialize(host_rates(base).filter(F.col("host_rate") > MAX_HOST_RATE).select(F.col("source").alias("host")))
+    n, size = refused.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("host")), F.lit(0))).first()
+    passed = base.filter("NOT base_failed")
+    if n:
+        few = n <= MAX_BROADCAST[0] and size <= MAX_BROADCAST[1]
+        passed = passed.join(F.broadcast(refused) if few else refused, F.col("source").eqNullSafe(F.col("host")), "left_anti")
+    return passed.select("row.*")
 
 
 ORACLE_SQL = r"""
