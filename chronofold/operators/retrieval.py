@@ -6,6 +6,8 @@ row_number() <= k, which Spark turns into a per-partition top-k before the shuff
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,57 +64,60 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
 
 
-#: Query vectors in one block; blocks are what is replicated, and each is of bounded size.
-QUERY_BLOCK = 256
+#: Query vectors in one block, which is what is replicated, and vectors held against it at once.
+QUERY_BLOCK, ROWS = 4096, 512
+
+
+class _Best:
+    """The k best (score, id) of each query so far; of equal scores the lesser id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.scores, self.ids = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def take(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        # only rows that reach the last place can change anything; after some batches these are few
+        for a in np.flatnonzero((scores >= self.scores[:, -1:]).any(axis=1) & np.isfinite(scores).any(axis=1)):
+            near = np.flatnonzero((scores[a] >= self.scores[a, -1]) & np.isfinite(scores[a]))
+            s, i = np.concatenate([self.scores[a], scores[a][near]]), np.concatenate([self.ids[a], ids[near]])
+            order = np.lexsort((i, -s))[: self.k]
+            self.scores[a], self.ids[a] = s[order], i[order]
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
     """qid, id, cosine (6 places) and rank of the k nearest vectors, exactly.
 
     vectors: id, v. queries: qid, v. Queries are a stated set: they are gathered in blocks, and each block is held against
-    each vector by one matrix product per Arrow batch; only the k best of each batch leave it, so what is shuffled is
-    queries x batches x k and no list of all pairs ever exists.
+    all vectors by matrix products in the tasks that read them. A task keeps the k best of each query and emits them once, so what is
+    shuffled is queries x tasks x k, and no list of all pairs ever exists.
     """
-    import numpy as np
-    import pyarrow as pa
-
     spark = vectors.sparkSession
-    asked = queries.select("qid", "v").orderBy("qid")
-    out = None
-    for block in _blocks(asked, QUERY_BLOCK):
-        ids = [r.qid for r in block]
-        q = np.array([r.v for r in block], np.float64)
-        norms = np.linalg.norm(q, axis=1)
-        q = q / np.where(norms == 0, 1, norms)[:, None]
-        shipped = spark.sparkContext.broadcast((ids, q, norms > 0))
-
-        def run(batches, shipped=shipped):
-            ids, q, alive = shipped.value
-            for batch in batches:
-                rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if v is not None and len(v) == q.shape[1]]
-                if not rows:
-                    continue
-                m = np.array([v for _, v in rows], np.float64)
-                n = np.linalg.norm(m, axis=1)
-                sims = np.round((q @ m.T) / np.where(n == 0, 1, n), 6)
-                sims[:, n == 0] = -np.inf
-                if least is not None:
-                    sims[sims < least] = -np.inf
-                got: tuple[list, list, list] = ([], [], [])
-                order = np.array([i for i, _ in rows])
-                for a in np.flatnonzero(alive):
-                    # stable by id among equals, as the final ranking is
-                    best = np.lexsort((order, -sims[a]))[:k]
-                    best = best[np.isfinite(sims[a][best])]
-                    got[0].extend([ids[a]] * len(best))
-                    got[1].extend(order[best].tolist())
-                    got[2].extend(sims[a][best].tolist())
-                yield pa.RecordBatch.from_pydict({"qid": pa.array(got[0], pa.int64()), "id": pa.array(got[1], pa.int64()), "cosine": pa.array(got[2], pa.float64())})
-
-        part = vectors.select("id", "v").mapInArrow(run, "qid long, id long, cosine double")
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        out = spark.createDataFrame([], "qid long, id long, cosine double")
+    out = spark.createDataFrame([], "qid long, id long, cosine double")
+    for block in _blocks(queries.select("qid", "v").orderBy("qid"), QUERY_BLOCK):
+        widths = {len(r.v) for r in block if r.v is not None}
+        for width in sorted(widths):
+            own = [r for r in block if r.v is not None and len(r.v) == width]
+            q = np.array([r.v for r in own], np.float64).reshape(len(own), width)
+            norms = np.linalg.norm(q, axis=1)
+            shipped = spark.sparkContext.broadcast((np.array([r.qid for r in own])[norms > 0], q[norms > 0] / norms[norms > 0][:, None], width))
+
+            def run(batches, shipped=shipped):
+                ids, q, width = shipped.value
+                best = _Best(len(ids), k)
+                for batch in batches:
+                    for a in range(0, batch.num_rows, ROWS):
+                        rows = [(i, v) for i, v in zip(batch.column(0).slice(a, ROWS).to_pylist(), batch.column(1).slice(a, ROWS).to_pylist(), strict=True) if v is not None and i is not None and len(v) == width]
+                        if rows:
+                            m = np.array([v for _, v in rows], np.float64)
+                            n = np.linalg.norm(m, axis=1)
+                            sims = np.round((q @ m.T) / np.where(n == 0, 1, n), 6)
+                            sims[:, n == 0] = -np.inf
+                            if least is not None:
+                                sims[sims < least] = -np.inf
+                            best.take(sims, np.array([i for i, _ in rows]))
+                at, nth = np.nonzero(np.isfinite(best.scores))
+                yield pa.RecordBatch.from_pydict({"qid": pa.array(ids[at], pa.int64()), "id": pa.array(best.ids[at, nth], pa.int64()), "cosine": pa.array(best.scores[at, nth], pa.float64())})
+
+            out = out.unionAll(vectors.select("id", "v").mapInArrow(run, "qid long, id long, cosine double"))
     return top(out, "cosine", k)
 
 
