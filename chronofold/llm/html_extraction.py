@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm._common import Bounded, lean, rows_in
+from chronofold.llm._common import Bounded, bounded_sample, lean, rows_in
 
 #: Pages whose text goes into the training pages, at most, and their size.
 SAMPLE, SAMPLE_BYTES = 160, 60_000
@@ -380,7 +380,7 @@ PLAIN = ["The committee met on Tuesday to discuss the plan and agreed on most of
 def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     """Fit on layouts made of the text of a bounded sample of pages, and on the sample's own layouts."""
     small = pages.select("page_id", "html").filter(F.octet_length("html").between(1, SAMPLE_BYTES))
-    rows = small.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(sample).collect()
+    rows = bounded_sample(small, sample, "page_id", "html").collect()
     features, seqs, labels, mains, others = Features(), [], [], [], []
     for r in rows:
         seq = blocks(r.html)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm._common import lean, rows_in, trim, words_of
+from chronofold.llm._common import bounded_sample, lean, rows_in, trim, words_of
 
 PASSAGE = 64
 #: Labelled documents to learn from, at most.
@@ -183,7 +183,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on at most sample labelled documents; their passage vectors, not their texts, come to the driver."""
     chosen = labels.filter(F.col(target).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg(target) >= 0.5).cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most sample rows of 12 bytes
+    chosen = bounded_sample(chosen, sample, "doc_id")  # at most sample rows of 12 bytes
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").limit(2 * sample)
 
     def run(batches):
