@@ -78,8 +78,10 @@ def format_chat(messages: DataFrame, schemas: Mapping[str, Mapping[str, tuple[st
     state = F.array_compact(F.array(F.when(F.struct("turn", "nth") != F.col("call_at"), F.lit("duplicate_id")), F.when(F.col("answer_turn").isNull(), F.lit("unanswered"))))
     checked = checked.select("conv_id", "turn", F.explode(F.concat(own, state)).alias("e")).groupBy("conv_id", "turn").agg(F.collect_set("e").alias("call_errors"))
 
-    out = rows.join(links.select("conv_id", "call_id", F.col("call_at.turn").alias("call_turn")).hint("shuffle_hash"), ["conv_id", "call_id"], "left")
-    out = out.join(checked, ["conv_id", "turn"], "left")
+    # plain messages, mostly all there are, take no part in the joins: their texts are never shuffled
+    is_plain = F.coalesce(F.size("calls") <= 0, F.lit(True)) & F.col("call_id").isNull()
+    out = rows.filter(~is_plain).join(links.select("conv_id", "call_id", F.col("call_at.turn").alias("call_turn")).hint("shuffle_hash"), ["conv_id", "call_id"], "left")
+    out = out.join(checked, ["conv_id", "turn"], "left").unionByName(rows.filter(is_plain), allowMissingColumns=True)
     is_result = F.col("call_id").isNotNull()
     mine = F.array_compact(F.array(F.when(is_result & F.col("call_turn").isNull(), F.lit("orphan_result")), F.when(is_result & (F.col("call_turn") >= F.col("turn")), F.lit("out_of_order"))))
     errors = F.array_join(F.array_sort(F.concat(F.coalesce("call_errors", F.expr("cast(array() as array<string>)")), mine)), ",")
