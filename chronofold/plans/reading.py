@@ -60,7 +60,7 @@ def window_rerank(spark, sf_dir):
 
 
 @query(f"""WITH {CLAIMS_EV}, r AS (SELECT usr, id, 'user:' || usr || ' ' || replace(predicate, '_', ' ') || ' ' || object AS line, row_number() OVER (PARTITION BY usr ORDER BY confidence DESC, recorded_at DESC, id) AS pos FROM claims_ev WHERE {_LIVE}),
-  b AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY usr ORDER BY pos) AS used FROM r) SELECT usr, id, pos, line FROM b WHERE used <= 400""")
+  b AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY usr ORDER BY pos) AS used FROM r) SELECT usr, id, pos, line FROM b WHERE used <= 400""", pos="INT")
 def recall_budget(spark, sf_dir):
     """Lines for a prompt, best first, as far as 400 characters (100 tokens of four) go."""
     c = claims_ev(spark, sf_dir).filter(C.live_expr(NOW, NOW))

@@ -11,13 +11,14 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    """Register a function as the query of its name."""
+def query(oracle: str | None = None, **kinds: str) -> Callable[[Query], Query]:
+    """Register a function as the query of its name. kinds: SQL types of columns whose own type in the SQL is wider than the query's."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if oracle:
-            ORACLES[f.__name__] = oracle
+            casts = ", ".join(f"{c}::{kind} AS {c}" for c, kind in kinds.items())
+            ORACLES[f.__name__] = f"SELECT * REPLACE ({casts}) FROM ({oracle})" if casts else oracle
         return f
 
     return add

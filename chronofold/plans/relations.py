@@ -59,7 +59,7 @@ def _cited(spark, sf_dir):
 _CITES = """c AS (SELECT l_orderkey AS claim, 'part_' || l_partkey AS episode, l_partkey AS part, min(l_linenumber) AS line FROM lineitem GROUP BY ALL)"""
 
 
-@query(f"WITH {_CITES} SELECT claim, episode, row_number() OVER (PARTITION BY claim ORDER BY line, part) - 1 AS pos, p_brand FROM c JOIN part ON 'part_' || p_partkey = episode")
+@query(f"WITH {_CITES} SELECT claim, episode, row_number() OVER (PARTITION BY claim ORDER BY line, part) - 1 AS pos, p_brand FROM c JOIN part ON 'part_' || p_partkey = episode", pos="INT")
 def why_sources(spark, sf_dir):
     eps = table(spark, sf_dir, "part").select(F.concat_ws("_", F.lit("part"), F.col("p_partkey").cast("string")).alias("id"), "p_brand")
     return P.why(_cited(spark, sf_dir), eps).select("claim", "episode", "pos", "p_brand")
@@ -102,7 +102,7 @@ def episodes_happened(spark, sf_dir):
     return episodes(spark, sf_dir).filter(C.happened_expr("2024-01-05 00:00:00", "2024-01-04 00:00:00")).select("id", "conv_id", "turn", "ts")
 
 
-@query(f"WITH {EPISODES} SELECT conv_id, id, row_number() OVER (PARTITION BY conv_id ORDER BY abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-03 12:02:00')), hash, id) AS pos FROM episodes QUALIFY pos <= 2")
+@query(f"WITH {EPISODES} SELECT conv_id, id, row_number() OVER (PARTITION BY conv_id ORDER BY abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-03 12:02:00')), hash, id) AS pos FROM episodes QUALIFY pos <= 2", pos="INT")
 def episodes_near(spark, sf_dir):
     from pyspark.sql import Window as W
 
@@ -111,7 +111,7 @@ def episodes_near(spark, sf_dir):
     return e.withColumn("pos", F.row_number().over(W.partitionBy("conv_id").orderBy(away, "hash", "id"))).filter("pos <= 2").select("conv_id", "id", "pos")
 
 
-@query(f"WITH {EDGES}, s AS (SELECT DISTINCT src FROM edges) SELECT count_if(tgt IN (SELECT src FROM s)) AS hit, count(*) AS n, round(count_if(tgt IN (SELECT src FROM s)) / count(*), 6) AS rate FROM edges")
+@query(f"WITH {EDGES}, s AS (SELECT DISTINCT src FROM edges) SELECT count_if(tgt IN (SELECT src FROM s)) AS hit, count(*) AS n, round(count_if(tgt IN (SELECT src FROM s)) / count(*), 6) AS rate FROM edges", hit="BIGINT")
 def connectivity_rate(spark, sf_dir):
     return G.join_rate(edges(spark, sf_dir))
 

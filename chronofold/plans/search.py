@@ -40,12 +40,12 @@ def _distinct_tokens(text, tokenize):
     return F.array_distinct(tokenize(text))
 
 
-@query(f"WITH {_bm25_sql()} SELECT qid, id, bm25, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, id) AS rank FROM bm25 QUALIFY rank <= 10")
+@query(f"WITH {_bm25_sql()} SELECT qid, id, bm25, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, id) AS rank FROM bm25 QUALIFY rank <= 10", rank="INT")
 def bm25_topk(spark, sf_dir):
     return R.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir), 10, ascii_tokens, _distinct_tokens).select("qid", "id", "bm25", "rank")
 
 
-@query(f"WITH {_bm25_sql(terms=f'list_distinct(list_filter({_TOK.format("text")}, lambda t: NOT list_contains({_STOP}, t)))')} SELECT qid, bm25.id, bm25, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, bm25.id) AS rank FROM bm25 JOIN documents ON doc_id = bm25.id WHERE lang = 'en' QUALIFY rank <= 10")
+@query(f"WITH {_bm25_sql(terms=f'list_distinct(list_filter({_TOK.format("text")}, lambda t: NOT list_contains({_STOP}, t)))')} SELECT qid, bm25.id, bm25, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, bm25.id) AS rank FROM bm25 JOIN documents ON doc_id = bm25.id WHERE lang = 'en' QUALIFY rank <= 10", rank="INT")
 def bm25_filtered(spark, sf_dir):
     """Statistics cover the whole corpus; the filter comes before the cut."""
     all_hits = R.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir), None, ascii_tokens, query_terms).drop("rank")
@@ -88,17 +88,17 @@ def _query_vectors(spark, sf_dir):
     return _vectors(spark, sf_dir).filter("id % 20 = 0").select(F.col("id").alias("qid"), "v")
 
 
-@query(f"WITH {_VEC} SELECT qid, id, cosine, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM c QUALIFY rank <= 10")
+@query(f"WITH {_VEC} SELECT qid, id, cosine, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM c QUALIFY rank <= 10", rank="INT")
 def vector_topk(spark, sf_dir):
     return R.vector_topk(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), 10)
 
 
-@query(f"WITH {_VEC} SELECT qid, id, cosine, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM c WHERE label < 3 QUALIFY rank <= 10")
+@query(f"WITH {_VEC} SELECT qid, id, cosine, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM c WHERE label < 3 QUALIFY rank <= 10", rank="INT")
 def vector_topk_filtered(spark, sf_dir):
     return R.vector_topk(_vectors(spark, sf_dir).filter("label < 3"), _query_vectors(spark, sf_dir), 10)
 
 
-@query(f"WITH {_VEC} SELECT qid, id, cosine, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM c WHERE id <> qid AND cosine >= 0.3 QUALIFY rank <= 5")
+@query(f"WITH {_VEC} SELECT qid, id, cosine, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM c WHERE id <> qid AND cosine >= 0.3 QUALIFY rank <= 5", rank="INT")
 def near_neighbours(spark, sf_dir):
     """Candidates for near-duplicate vectors: nearest others over a threshold."""
     got = R.vector_topk(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), 6, 0.3).filter("id <> qid").drop("rank")
@@ -115,7 +115,7 @@ def knn_label_vote(spark, sf_dir):
     return best.join(v.select(F.col("id").alias("qid"), F.col("label").alias("qlabel")), "qid").select("qid", "qlabel", F.col("label").alias("voted"), "votes")
 
 
-@query("SELECT 'embeddings' AS store, count(*) AS n, min(len(embedding)) AS least, max(len(embedding)) AS most, count_if(embedding IS NULL) AS missing FROM embeddings")
+@query("SELECT 'embeddings' AS store, count(*) AS n, min(len(embedding)) AS least, max(len(embedding)) AS most, count_if(embedding IS NULL) AS missing FROM embeddings", missing="BIGINT")
 def vector_census(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return e.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).cast("long").alias("least"), F.max(F.size("embedding")).cast("long").alias("most"), F.count_if(F.col("embedding").isNull()).alias("missing")).withColumn("store", F.lit("embeddings"))
@@ -147,7 +147,7 @@ def rrf_fusion(spark, sf_dir):
     FROM pool p LEFT JOIN vec USING (qid, id) LEFT JOIN lex USING (qid, id) JOIN nt USING (qid) JOIN documents d ON d.doc_id = p.id),
   e AS (SELECT *, ((CASE WHEN von THEN coalesce(greatest(0, least(1, cosine)), 0) ELSE 0 END) + (CASE WHEN lon AND bm25 > 0 THEN (bm25 / n) / (bm25 / n + 1.5) ELSE 0 END)) / (von::INT + lon::INT) AS ev FROM j),
   g AS (SELECT qid, id, round(least(1, ev * least(1, (1 + 0.25 * r + 0.15 * c + 0.10 * s) / 1.5)), 6) AS score FROM e)
-  SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS pos FROM g QUALIFY pos <= 12""")
+  SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS pos FROM g QUALIFY pos <= 12""", pos="INT")
 def hybrid_search(spark, sf_dir):
     """Both legs, fused for candidates, scored absolutely with each document's recency, confidence and salience."""
     lexical, vector = _legs(spark, sf_dir)
@@ -159,7 +159,7 @@ def hybrid_search(spark, sf_dir):
 @query(f"""WITH {_bm25_sql()}, r AS (SELECT qid, id, source AS slot, round((bm25 / n) / (bm25 / n + 1.5), 6) AS score FROM bm25 JOIN documents ON doc_id = id
     JOIN (SELECT item_id AS qid, len(list_distinct({_TOK.format('text')})) AS n FROM benchmark) USING (qid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, id) <= 20),
   b AS (SELECT *, CASE WHEN score <= 0 THEN 2 WHEN row_number() OVER (PARTITION BY qid, slot ORDER BY score DESC, id) <= 2 THEN 0 ELSE 1 END AS bucket FROM r)
-  SELECT qid, id, slot, score, row_number() OVER (PARTITION BY qid ORDER BY bucket, score DESC, id) AS pos FROM b""")
+  SELECT qid, id, slot, score, row_number() OVER (PARTITION BY qid ORDER BY bucket, score DESC, id) AS pos FROM b""", pos="INT")
 def slot_cap(spark, sf_dir):
     docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
     hits = R.bm25(docs, asked, 20, ascii_tokens, _distinct_tokens)

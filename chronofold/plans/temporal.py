@@ -106,7 +106,7 @@ def next_state_change(spark, sf_dir):
 
 
 @query(f"""WITH {CLAIMS_EV} SELECT id, fact_key, object, valid_from, valid_to, recorded_at, row_number() OVER (PARTITION BY fact_key ORDER BY recorded_at, id) AS pos
-  FROM claims_ev WHERE recorded_at <= TIMESTAMP '{LATER}' AND {_FRESH}""")
+  FROM claims_ev WHERE recorded_at <= TIMESTAMP '{LATER}' AND {_FRESH}""", pos="INT")
 def slot_history(spark, sf_dir):
     return T.history(claims_ev(spark, sf_dir), LATER, NOW).select("id", "fact_key", "object", "valid_from", "valid_to", "recorded_at", "pos")
 
@@ -137,7 +137,7 @@ def since_gone(spark, sf_dir):
 
 
 @query(f"""WITH {CLAIMS_EV}, n AS (SELECT fact_key, count(*) AS n FROM claims_ev GROUP BY 1)
-  SELECT count(*) AS slots, max(n) AS most, count_if(n > 3) AS crowded FROM n""")
+  SELECT count(*) AS slots, max(n) AS most, count_if(n > 3) AS crowded FROM n""", crowded="BIGINT")
 def claims_per_slot(spark, sf_dir):
     n = claims_ev(spark, sf_dir).groupBy("fact_key").agg(F.count(F.lit(1)).alias("n"))
     return n.agg(F.count(F.lit(1)).alias("slots"), F.max("n").alias("most"), F.count_if(F.col("n") > 3).alias("crowded"))
@@ -221,7 +221,7 @@ def keyset_page(spark, sf_dir):
 
 
 @query(f"""WITH {CLAIMS_EV} SELECT subject, id, row_number() OVER (PARTITION BY subject ORDER BY confidence DESC, recorded_at DESC, id) AS pos FROM claims_ev
-  WHERE {_known(NOW)} AND {_holds(NOW)} AND {_FRESH} QUALIFY pos <= 3""")
+  WHERE {_known(NOW)} AND {_holds(NOW)} AND {_FRESH} QUALIFY pos <= 3""", pos="INT")
 def standing(spark, sf_dir):
     live = T.read(claims_ev(spark, sf_dir), [C.LIVE], NOW, NOW, NOW)
     w = W.partitionBy("subject").orderBy(F.desc("confidence"), F.desc("recorded_at"), "id")
