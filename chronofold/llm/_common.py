@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -51,16 +51,25 @@ def unmaterialize(df: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def lean(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches of at most 1000 rows from now on: whole texts may be long, and a batch is held in memory twice."""
+def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema), easy on memory.
+
+    Arrow batches are of at most 1000 rows from now on, since whole texts may be long and a batch is held twice. When a task
+    ends, what run() held is freed and goes back to the system: workers are used again by later stages.
+    """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(conf.get(key)) > 1000:
         conf.set(key, "1000")
-    return df
+
+    def tidy(batches):
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def trim() -> None:
-    """Give memory back at the end of a task: workers are used again by later ones, beside the executor's own heap."""
+    """Give freed memory back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
@@ -96,7 +105,6 @@ def rows_in(batches: Iterable[pa.RecordBatch], *names: str, size: int = 2000) ->
         for k in range(0, batch.num_rows, size):
             yield [c.slice(k, size).to_pylist() for c in cols]
         del batch, cols
-    trim()
 
 
 class Bounded(dict):

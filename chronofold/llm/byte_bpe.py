@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from chronofold.llm._common import Bounded, lean, rows_in
+from chronofold.llm._common import Bounded, arrow, rows_in
 
 #: Bytes that the plain merge loop takes on at once.
 LEAF = 48
@@ -113,7 +113,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             packed = [c.encode(t) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([np.frombuffer(p, "<i4") for p in packed], pa.list_(pa.int32())), pa.array([c.decode(p) for p in packed], pa.binary())], schema=schema)
 
-    return lean(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return arrow(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -126,4 +126,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             packed = [c.encode(t) for t in texts]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64()), "ids_sha256": [sha(p) for p in packed], "decoded_sha256": [sha(c.decode(p)) for p in packed]})
 
-    return lean(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

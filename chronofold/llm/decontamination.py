@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm._common import Bounded, lean, rows_in, trim, words_of
+from chronofold.llm._common import Bounded, arrow, rows_in, words_of
 
 K1, B = 1.2, 0.75
 #: Share of an item's score against itself.
@@ -249,7 +249,7 @@ def find(docs: DataFrame, items: DataFrame, least: float = THRESHOLD) -> DataFra
                 names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "n_windows"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
-        found = found.unionAll(lean(docs).select("doc_id", "text").mapInArrow(run, schema))
+        found = found.unionAll(arrow(docs.select("doc_id", "text"), run, schema))
     best = F.max_by(F.struct("score", "question_overlap", "answer_overlap", "n_windows"), F.struct(F.least("question_overlap", "answer_overlap"), F.col("score"))).alias("x")
     found = found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")
     return found.withColumn("verified", F.least("question_overlap", "answer_overlap") >= OVERLAP)
@@ -277,7 +277,6 @@ def clean(docs: DataFrame, items: DataFrame, least: float = THRESHOLD) -> DataFr
                     found = [s(texts) for s in searchers]
                     yield piece.filter(pa.array([not any(min(x[1:3]) >= OVERLAP for f in found for x in f[j].values()) for j in range(len(texts))], pa.bool_()))
                 del batch, piece, texts
-            trim()
 
-        docs = lean(docs).mapInArrow(run, docs.schema)
+        docs = arrow(docs, run, docs.schema)
     return docs

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm._common import Bounded, bounded_sample, lean, rows_in
+from chronofold.llm._common import Bounded, arrow, bounded_sample, rows_in
 
 #: Pages whose text goes into the training pages, at most, and their size.
 SAMPLE, SAMPLE_BYTES = 160, 60_000
@@ -410,4 +410,4 @@ def extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
             texts = ["\n".join(b.text for b, y in zip(s, ys, strict=True) if y >= 0.5) for s, ys in zip(seqs, chosen, strict=True)]
             yield pa.RecordBatch.from_pydict({"page_id": pa.array(ids, pa.int64()), "url": pa.array(urls, pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return lean(pages).select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return arrow(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm._common import lean, materialize, rows_in, unmaterialize
+from chronofold.llm._common import arrow, materialize, rows_in, unmaterialize
 
 N = 5
 #: Similarity in percent.
@@ -147,7 +147,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         none = pa.nulls(len(rows)).cast(pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([k for k, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], schema=schema)
 
-    return lean(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, hi long, lo long, part int, counts binary")
+    return arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, hi long, lo long, part int, counts binary")
 
 
 def _levels(sketches: DataFrame) -> np.ndarray:
@@ -187,7 +187,7 @@ def _postings(docs: DataFrame, level: np.ndarray, light: int) -> DataFrame:
             rows = [(i, len(s), *signatures(s, shipped.value, light), bitmap(s)) for i, s in zip(ids, shingle(texts), strict=True) if i is not None and len(s)]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64()), "lists": pa.array([r[2].view(np.int64) for r in rows], pa.list_(pa.int64())), "subsets": pa.array([r[3].view(np.int64) for r in rows], pa.list_(pa.int64())), "bits": pa.array([r[4] for r in rows], pa.binary())})
 
-    return lean(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, lists array<long>, subsets array<long>, bits binary")
+    return arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, lists array<long>, subsets array<long>, bits binary")
 
 
 def may_link(n: np.ndarray, bits: list[bytes]) -> np.ndarray:
@@ -243,7 +243,7 @@ def _likely(members: DataFrame, partitions: int) -> DataFrame:
                 out = ([], [], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32())], ["hub", "blocks", "node", "i"])
 
-    return lean(rows).mapInArrow(run, "hub long, blocks int, node long, i int")
+    return arrow(rows, run, "hub long, blocks int, node long, i int")
 
 
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -334,7 +334,7 @@ def _checked(groups: DataFrame, texts: DataFrame, partitions: int) -> DataFrame:
             found = links([kept[k] for k in nodes], [seen[k][0] for k in nodes], np.array([seen[k][1] for k in nodes]))
             yield pa.RecordBatch.from_pydict({"a": pa.array([min(nodes[x], nodes[y]) for x, y in found], pa.int64()), "b": pa.array([max(nodes[x], nodes[y]) for x, y in found], pa.int64())})
 
-    return lean(rows).mapInArrow(run, "a long, b long")
+    return arrow(rows, run, "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:

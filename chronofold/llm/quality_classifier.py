@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm._common import bounded_sample, lean, rows_in, trim, words_of
+from chronofold.llm._common import arrow, bounded_sample, rows_in, words_of
 
 PASSAGE = 64
 #: Labelled documents to learn from, at most.
@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
         for ys, texts in rows_in(batches, "y", "text", size=200):
             yield pa.RecordBatch.from_pydict({"y": pa.array(ys, pa.int32()), "x": pa.array([enc(t).tobytes() for t in texts], pa.binary())})
 
-    got = sorted((r.y, bytes(r.x)) for r in lean(rows).mapInArrow(run, "y int, x binary").collect())
+    got = sorted((r.y, bytes(r.x)) for r in arrow(rows, run, "y int, x binary").collect())
     return fit([np.frombuffer(x, np.float32).reshape(-1, WIDTH) for _, x in got], np.array([y for y, _ in got]))
 
 
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             got = model.scores([enc(t) for t in texts])
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "score": pa.array(got, pa.float64()), "predicted": pa.array((got >= 0.5).astype(np.int32), pa.int32())})
 
-    return lean(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return arrow(docs.select("doc_id", "text"), run, "doc_id long, score double, predicted int")
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
@@ -219,7 +219,5 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
                 yield part.filter(pa.array(model.scores([enc(t) for t in texts]) >= 0.5))
             del batch, part, texts
-        del enc
-        trim()
 
-    return lean(docs).mapInArrow(run, schema)
+    return arrow(docs, run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofold.llm._common import lean, materialize, rows_in
+from chronofold.llm._common import arrow, materialize, rows_in
 from chronofold.llm.byte_bpe import codec
 
 #: Lengths in a block. There are (longest length / WIDTH) blocks, which one window sums.
@@ -36,7 +36,7 @@ def histogram(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             counts.update(len(encode(t)) // 4 for t in texts)
         yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(counts.keys(), pa.int64()), "n": pa.array(counts.values(), pa.int64())})
 
-    return lean(docs).select("text").mapInArrow(run, "n_tokens long, n long").groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
+    return arrow(docs.select("text"), run, "n_tokens long, n long").groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
