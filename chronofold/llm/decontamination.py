@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -233,7 +234,7 @@ def find(docs: DataFrame, items: DataFrame, least: float = THRESHOLD) -> DataFra
     """Pairs retrieved: doc_id, item_id, score, question_overlap, answer_overlap, n_windows and verified (by OVERLAP)."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, n_windows long"
-    found = spark.createDataFrame([], schema)
+    found = []
     for part in _parts(items):
         built = indexes([(r.item_id, r.text) for r in part.collect()])
         if not built:
@@ -249,8 +250,9 @@ def find(docs: DataFrame, items: DataFrame, least: float = THRESHOLD) -> DataFra
                 names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "n_windows"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
-        found = found.unionAll(arrow(docs.select("doc_id", "text"), run, schema))
+        found.append(arrow(docs.select("doc_id", "text"), run, schema))
     best = F.max_by(F.struct("score", "question_overlap", "answer_overlap", "n_windows"), F.struct(F.least("question_overlap", "answer_overlap"), F.col("score"))).alias("x")
+    found = reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
     found = found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")
     return found.withColumn("verified", F.least("question_overlap", "answer_overlap") >= OVERLAP)
 
