@@ -6,6 +6,8 @@ row_number() <= k, which Spark turns into a per-partition top-k before the shuff
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -91,7 +93,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, least: float | N
     shuffled is queries x tasks x k, and no list of all pairs ever exists.
     """
     spark = vectors.sparkSession
-    out = spark.createDataFrame([], "qid long, id long, cosine double")
+    schema, parts = "qid long, id long, cosine double", []
     for block in _blocks(queries.select("qid", "v").orderBy("qid"), QUERY_BLOCK):
         widths = {len(r.v) for r in block if r.v is not None}
         for width in sorted(widths):
@@ -117,8 +119,8 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, least: float | N
                 at, nth = np.nonzero(np.isfinite(best.scores))
                 yield pa.RecordBatch.from_pydict({"qid": pa.array(ids[at], pa.int64()), "id": pa.array(best.ids[at, nth], pa.int64()), "cosine": pa.array(best.scores[at, nth], pa.float64())})
 
-            out = out.unionAll(vectors.select("id", "v").mapInArrow(run, "qid long, id long, cosine double"))
-    return top(out, "cosine", k)
+            parts.append(vectors.select("id", "v").mapInArrow(run, schema))
+    return top(reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema), "cosine", k)
 
 
 def _blocks(rows: DataFrame, size: int):
