@@ -158,14 +158,15 @@ def hybrid(vector: DataFrame, lexical: DataFrame, n_terms: DataFrame, facts: Dat
     Fusion only picks the pool of candidates; the score is absolute: the weighted mean of the legs' relevance, times the fact's
     quality. A leg is active for a query if it found anything for it; a candidate it did not find then counts as 0.
     """
-    fused = fuse([(vector, w_vector), (lexical, w_lexical)])
-    chosen = top(fused, "fused", pool).select("qid", "id", "fused")
-    v_on = vector.groupBy("qid").agg(F.lit(True).alias("v_on"))
-    l_on = lexical.groupBy("qid").agg(F.lit(True).alias("l_on"))
-    rows = chosen.join(vector.select("qid", "id", "cosine"), ["qid", "id"], "left").join(lexical.select("qid", "id", "bm25"), ["qid", "id"], "left")
-    rows = rows.join(v_on, "qid", "left").join(l_on, "qid", "left").join(n_terms, "qid", "left").join(facts, "id")
-    legs = [(S.vector_relevance(F.col("cosine")), F.coalesce("v_on", F.lit(False)), w_vector), (S.lexical_relevance(F.col("bm25"), F.col("n")), F.coalesce("l_on", F.lit(False)), w_lexical)]
-    score = S.score(S.evidence(legs), S.quality(F.col("recency"), F.col("confidence"), F.col("salience")))
+    null = F.lit(None).cast("double")
+    legs = [df.select("qid", "id", (S.rrf(F.col("rank"), w) if w else F.lit(0.0)).alias("part"), (F.col("cosine") if name == "v" else null).alias("cosine"), (F.col("bm25") if name == "l" else null).alias("bm25")) for df, w, name in ((vector, w_vector, "v"), (lexical, w_lexical, "l")) if w]
+    # one pass over each leg: candidates are put together by union and aggregation, not by joining the legs with themselves
+    rows = reduce(DataFrame.unionAll, legs).groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("fused"), F.max("cosine").alias("cosine"), F.max("bm25").alias("bm25"))
+    every = W.partitionBy("qid")
+    rows = rows.withColumn("v_on", F.max("cosine").over(every).isNotNull()).withColumn("l_on", F.max("bm25").over(every).isNotNull())
+    rows = top(rows, "fused", pool).join(n_terms, "qid", "left").join(facts, "id")
+    weighed = [(S.vector_relevance(F.col("cosine")), F.col("v_on"), w_vector), (S.lexical_relevance(F.col("bm25"), F.col("n")), F.col("l_on"), w_lexical)]
+    score = S.score(S.evidence(weighed), S.quality(F.col("recency"), F.col("confidence"), F.col("salience")))
     rows = rows.withColumn("score", F.round(score, 6))
     return rows.withColumn("pos", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("pos") <= k).select("qid", "id", "score", "pos")
 
