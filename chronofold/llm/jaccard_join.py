@@ -419,6 +419,9 @@ def components(docs: DataFrame) -> DataFrame:
         more = materialize(_checked(rows_minor.unionByName(rows_all), texts, partitions))
         comps = connected(forest.unionByName(more))
 
+    for done in (stars, wanted, members, texts, forest):
+        unmaterialize(done)
+
     named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(named, ["hi", "lo"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
