@@ -25,8 +25,12 @@ BUILTIN = [
     ("speaks", "many", "static", "semantic"), ("allergic_to", "many", "static", "semantic"), ("owns_pet", "many", "slow", "semantic"), ("likes", "many", "slow", "semantic"), ("dislikes", "many", "slow", "semantic"),
     ("dietary_restriction", "many", "slow", "semantic"), ("prefers", "many", "slow", "procedural"), ("never_do", "many", "slow", "procedural"), ("goal", "many", "fast", "episodic"),
 ]
-# Words that add nothing to a predicate's name.
-NOISE = frozenset("is was has have had a an the of user current my".split())
+# Words that change how a predicate is spelled and not what it asks, in the order in which they are taken off.
+NOISE = (
+    frozenset("name names value values field label info".split()),
+    frozenset("is are was were be the a an of by at in on to for with my our your their user users current currently present".split()),
+    frozenset("company job".split()),
+)
 
 
 @dataclass(frozen=True)
@@ -71,8 +75,10 @@ class Vocabulary:
 
     @staticmethod
     def key(name: str, fold=_singular) -> tuple[str, ...]:
-        words = [w for w in "".join(c if c.isalnum() else " " for c in name.lower()).split()]
-        return tuple(sorted(fold(w) for w in words if w not in NOISE) or sorted(words))
+        words = "".join(c if c.isalnum() else " " for c in name.lower()).split()
+        for noise in NOISE:
+            words = [w for w in words if w not in noise] or words
+        return tuple(sorted(map(fold, words)))
 
     def resolve(self, raw: str) -> tuple[str, str]:
         """(name, how): canonical, alias, strict, loose or novel. A key that two predicates share decides nothing."""
