@@ -39,7 +39,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None, tokenize=tokens, te
     rows = docs.select("id", tokenize(F.col("text")).alias("t"))
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("a")).select(F.struct("n", "a").alias("s"))
     hits = rows.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(vocabulary, "term").groupBy("id", "term").agg(F.count(F.lit(1)).alias("f"), F.max("dl").alias("dl"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("d"))
+    # reads both columns of hits, so that this branch and the next are one plan and share one shuffle of the hits
+    df = hits.groupBy("term").agg(F.count_if((F.col("f") > 0) & (F.col("dl") > 0)).alias("d"))
     weighed = hits.join(df, "term").withColumn("s", stats.scalar())
     idf = F.greatest(F.ln((F.col("s.n") - F.col("d") + 0.5) / (F.col("d") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("s.a")))
