@@ -91,8 +91,8 @@ def pending_extraction(spark, sf_dir):
 @query(None)
 def near_dup_merge(spark, sf_dir):
     """Near-identical values of a slot, folded into the one that survives."""
-    c = claims_ev(spark, sf_dir).withColumn("obs_count", (1 + F.col("event_id") % 3).cast("int")).withColumn("fact_key", F.col("predicate"))
-    return merge_near(c.filter("event_id % 10 = 0").select("fact_key", "id", F.concat_ws(" ", "predicate", "object", F.lit("value of the metric")).alias("text"), "obs_count", "recorded_at"), 0.97)
+    c = claims_ev(spark, sf_dir).withColumn("obs_count", (1 + F.col("event_id") % 3).cast("int"))
+    return merge_near(c.select("fact_key", "id", F.concat_ws(" ", "predicate", "object", F.lit("value of the metric")).alias("text"), "obs_count", "recorded_at"), 0.97)
 
 
 @query("""WITH r AS (SELECT lang, n_chars::DOUBLE AS x, length(text)::DOUBLE AS y FROM documents), k AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY x) + (count(*) OVER (PARTITION BY lang, x) - 1) / 2.0 AS a,
