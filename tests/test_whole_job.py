@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from chronofold.functions.language import hash_embed
 from chronofold.operators.merging import WINDOW, merge_near
@@ -56,3 +57,19 @@ def test_near_dup_merge_takes_every_claim_and_keeps_slots_apart(spark, sf):
     assert all(slot[r.id] == slot[r.keeper] for r in got)
     kept = {(r.keeper, r.obs_count) for r in got}
     assert len(kept) == len({k for k, _ in kept}) and sum(n for _, n in kept) == sum(1 + r.event_id % 3 for r in c)
+
+
+def rows_of_sql(sf: str, sql: str) -> list[tuple]:
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("conversations", "documents", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return sorted(con.execute(sql).fetchall())
+
+
+def test_pending_extraction_is_the_whole_gate(spark, sf):
+    got = sorted((r.id,) for r in catalog.queries()["pending_extraction"](spark, sf).collect())
+    sql = f"SELECT 'ep_' || conv_id || '_' || turn FROM ({catalog.oracle_sql()['salience_gate']}) WHERE reason = 'has_declarative' AND conv_id % 3 <> 0"
+    assert got == rows_of_sql(sf, sql)
+    short = rows_of_sql(sf, "SELECT 'ep_' || conv_id || '_' || turn FROM conversations WHERE length(text) <= 200")
+    assert set(got) & set(short)
