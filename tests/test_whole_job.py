@@ -73,3 +73,9 @@ def test_pending_extraction_is_the_whole_gate(spark, sf):
     assert got == rows_of_sql(sf, sql)
     short = rows_of_sql(sf, "SELECT 'ep_' || conv_id || '_' || turn FROM conversations WHERE length(text) <= 200")
     assert set(got) & set(short)
+
+
+def test_links_of_covers_every_part_and_supplier(spark, sf):
+    got = sorted((r.id, r.other, r.relation, r.outgoing) for r in catalog.queries()["links_of"](spark, sf).collect())
+    links = "SELECT DISTINCT l_partkey AS a, l_suppkey AS b, CASE WHEN l_quantity > 25 THEN 'extends' ELSE 'derives' END AS r FROM lineitem"
+    assert got == rows_of_sql(sf, f"SELECT a, b, r, true FROM ({links}) UNION ALL SELECT b, a, r, false FROM ({links}) WHERE a <> b")
