@@ -79,3 +79,14 @@ def test_links_of_covers_every_part_and_supplier(spark, sf):
     got = sorted((r.id, r.other, r.relation, r.outgoing) for r in catalog.queries()["links_of"](spark, sf).collect())
     links = "SELECT DISTINCT l_partkey AS a, l_suppkey AS b, CASE WHEN l_quantity > 25 THEN 'extends' ELSE 'derives' END AS r FROM lineitem"
     assert got == rows_of_sql(sf, f"SELECT a, b, r, true FROM ({links}) UNION ALL SELECT b, a, r, false FROM ({links}) WHERE a <> b")
+
+
+def test_term_stats_keeps_rare_terms(spark, sf):
+    got = {r.term: (r.cf, r.df) for r in catalog.queries()["term_stats"](spark, sf).collect()}
+    cf, df = Counter(), Counter()
+    for (text,) in rows_of_sql(sf, "SELECT text FROM documents WHERE text IS NOT NULL"):
+        terms = re.findall(r"[a-z0-9]{2,}", "".join(c if c.isascii() else " " for c in text.lower()))
+        cf.update(terms)
+        df.update(set(terms))
+    assert got == {t: (cf[t], df[t]) for t in cf}
+    assert min(df.values()) == 1
