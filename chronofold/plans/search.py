@@ -214,7 +214,7 @@ def R_floor(by_x):
     down = W.orderBy(F.desc("x")).rowsBetween(W.unboundedPreceding, 0)
     every = W.partitionBy()
     right = F.coalesce(F.sum("neg").over(up), F.lit(0)) + F.sum("pos").over(down)
-    rows = by_x.withColumn("acc", right / (F.sum("pos").over(every) + F.sum("neg").over(every))).filter("x % 50 = 0 OR x < 400")
+    rows = by_x.withColumn("acc", right / (F.sum("pos").over(every) + F.sum("neg").over(every)))
     return rows.agg(F.min_by("x", F.struct(-F.round("acc", 9), F.col("x"))).alias("threshold"), F.round(F.max("acc"), 6).alias("accuracy"))
 
 

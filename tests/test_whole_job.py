@@ -90,3 +90,15 @@ def test_term_stats_keeps_rare_terms(spark, sf):
         df.update(set(terms))
     assert got == {t: (cf[t], df[t]) for t in cf}
     assert min(df.values()) == 1
+
+
+def test_any_value_can_be_the_floor(spark):
+    from chronofold.plans.search import R_floor
+
+    for best in (437, 1013):
+        pairs = [(x, int(x >= best)) for x in (1, 90, 400, 431, 437, 450, 999, 1013, 1050, 2000)]
+        acc = {x: sum((n >= x) == (q == 1) for n, q in pairs) / len(pairs) for x, _ in pairs}
+        want = min(acc, key=lambda x: (-round(acc[x], 9), x))
+        by_x = spark.createDataFrame([(x, q, 1 - q) for x, q in pairs], "x long, pos long, neg long")
+        got = R_floor(by_x).collect()[0]
+        assert (got.threshold, got.accuracy) == (want, round(acc[want], 6)) == (best, 1.0)
