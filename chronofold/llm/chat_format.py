@@ -11,7 +11,8 @@ Canonical JSON has sorted keys, no spaces between tokens and no null fields; arg
 
 Defined results: a null role is ``unknown``; null texts have no content; results without a call are marked
 orphan_result, calls without a result unanswered; a result before its call is put after it and marked out_of_order; arguments that are no
-JSON object are marked bad_arguments and left out of the JSON; repeated rows give repeated messages; rows with a null
+JSON object are marked bad_arguments and left out of the JSON; calls whose id is null or absent are kept, marked missing_id and
+link with nothing; repeated rows give repeated messages; rows with a null
 conv_id link with nothing; an empty table gives an empty result; columns other than conv_id, turn, role and text are not
 read.
 """
@@ -65,17 +66,18 @@ def format_chat(messages: DataFrame, schemas: Mapping[str, Mapping[str, tuple[st
     is_json = F.col("text").rlike(r"^\s*\{")
     rows = messages.select("conv_id", "turn", F.lower(F.coalesce("role", F.lit("unknown"))).alias("role"), "text")
     rows = rows.withColumn("said", F.when((F.col("role") == "assistant") & is_json, F.from_json("text", CALLS))).withColumn("got", F.when((F.col("role") == "tool") & is_json, F.from_json("text", RESULT)))
-    rows = rows.select("conv_id", "turn", "role", "text", F.filter("said.tool_calls", lambda c: c["id"].isNotNull()).alias("calls"), F.col("said.content").alias("said_content"), F.col("got.tool_call_id").alias("call_id"), F.col("got.content").alias("got_content"))
+    rows = rows.select("conv_id", "turn", "role", "text", F.col("said.tool_calls").alias("calls"), F.col("said.content").alias("said_content"), F.col("got.tool_call_id").alias("call_id"), F.col("got.content").alias("got_content"))
 
     made = rows.filter(F.size("calls") > 0).select("conv_id", "turn", F.posexplode("calls").alias("nth", "c"))
-    first = made.groupBy("conv_id", F.col("c.id").alias("call_id")).agg(F.min(F.struct("turn", "nth")).alias("call_at"))
+    first = made.filter("c.id IS NOT NULL").groupBy("conv_id", F.col("c.id").alias("call_id")).agg(F.min(F.struct("turn", "nth")).alias("call_at"))
     answered = rows.filter("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min("turn").alias("answer_turn"))
     links = first.join(answered.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
 
     # calls: their errors, summed up by message
     checked = made.withColumn("call_id", F.col("c.id")).join(links.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
     own = _argument_errors(F.col("c.name"), F.col("c.arguments"), schemas)
-    state = F.array_compact(F.array(F.when(F.struct("turn", "nth") != F.col("call_at"), F.lit("duplicate_id")), F.when(F.col("answer_turn").isNull(), F.lit("unanswered"))))
+    no_id = F.col("call_id").isNull()
+    state = F.array_compact(F.array(F.when(no_id, F.lit("missing_id")), F.when(F.struct("turn", "nth") != F.col("call_at"), F.lit("duplicate_id")), F.when(~no_id & F.col("answer_turn").isNull(), F.lit("unanswered"))))
     checked = checked.select("conv_id", "turn", F.explode(F.concat(own, state)).alias("e")).groupBy("conv_id", "turn").agg(F.collect_set("e").alias("call_errors"))
 
     # plain messages, mostly all there are, take no part in the joins: their texts are never shuffled
