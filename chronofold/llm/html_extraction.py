@@ -10,7 +10,8 @@ corpus (each of at most SAMPLE_BYTES), whose semantic tags tell articles from ot
 many kinds, with articles in containers of many names, and with menus, notices, adverts, forms, side columns, footers
 and reader comments around and inside them. Sampling bounds the training only; every page is extracted as a whole.
 
-Scripts, styles, comments in the markup, titles and the like never become blocks. Character references are decoded, white
+Scripts, styles, comments in the markup, titles and the like never become blocks; templates, drawings, objects and the like do so
+only where they have no end tag. Formulas are text. Character references are decoded, white
 space within a block becomes one space.
 
 Defined results: null or empty html, and html without main text, give an empty string; repeated rows are extracted each;
@@ -41,17 +42,20 @@ HIDDEN = 12
 
 # HTML elements by kind.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE |= frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}}
 BOUNDS = frozenset("ul ol dl table div article section main body".split())
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|iframe|svg|math|object|title|textarea|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<whole>template|noscript|iframe|svg|object|select)(?=[\s/>])(?:(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
     r"|</?[a-zA-Z!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+_ENDS = {x: re.compile(rf"</{x}\s*>", re.I) for x in "template noscript iframe svg object select".split()}
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -89,12 +93,26 @@ def blocks(page: str | None) -> list[Block]:
     if not page:
         return out
     at = 0
-    for m in _MARKUP.finditer(page):
+    open_ended: set[str] = set()
+    while m := _MARKUP.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
         if m["raw"]:
-            if m["raw"].lower() in ("textarea", "select"):
+            if m["raw"].lower() == "textarea":
+                flush()
+            continue
+        if m["whole"]:
+            name = m["whole"].lower()
+            if name == "svg" and m[0].endswith("/>"):
+                continue
+            # without an end tag nothing is left out, and later elements of the name have none either
+            end = None if name in open_ended else _ENDS[name].search(page, at)
+            if end:
+                at = end.end()
+            else:
+                open_ended.add(name)
+            if name == "select" or not end:
                 flush()
             continue
         tag = m["tag"]

@@ -4,7 +4,24 @@ from __future__ import annotations
 
 import json
 
-from chronofold.llm import chat_format
+from chronofold.llm import chat_format, html_extraction
+
+
+def test_elements_that_only_start_like_raw_ones_hide_nothing():
+    text = lambda page: " ".join(b.text for b in html_extraction.blocks(page))
+    for tag in ("svg-icon", "title-bar", "select-box", "object-view", "script-x", "style-y", "template-z"):
+        assert text(f"<p>One <{tag}></{tag}> two</p><p>Three</p>") == "One two Three"
+        assert text(f"<p>One <{tag} a='b'/> two</p><p>Three</p>") == "One two Three"
+    for tag in ("svg", "object", "noscript", "template", "select", "iframe"):
+        assert text(f"<p>One</p><{tag} a='b'><p>Two</p><p>Three</p>") == "One Two Three"
+        assert text(f"<p>One</p><{tag} a='x>y'>hidden</{tag} ><p>Two</p>") == text(f"<p>One</p><{tag.upper()}>hidden</{tag}><p>Two</p>") == "One Two"
+    assert text("<p>One<svg/> two</p><p>Three <svg><title>x</title></svg></p>") == "One two Three"
+    for tag in ("script", "style", "textarea", "title"):
+        assert text(f"<p>One</p><{tag}>hidden <p>hidden") == "One"
+
+
+def test_formulas_are_text():
+    assert [b.text for b in html_extraction.blocks("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold</p></article>")] == ["Let x=2 hold"]
 
 
 def test_calls_without_an_identifier_are_kept(spark):
