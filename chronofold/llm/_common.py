@@ -35,11 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
-    This cuts the lineage on storage that outlives any executor; a lost executor costs only the tasks it ran.
+    This cuts the lineage on storage that outlives any executor; a lost executor costs only the tasks it ran. The files go with
+    unmaterialize(), or else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
     # shuffle files of what is now written go once the driver's garbage is collected, which may else be long in coming
     spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
@@ -111,14 +114,19 @@ def rows_in(batches: Iterable[pa.RecordBatch], *names: str, size: int = 2000) ->
 
 
 class Bounded(dict):
-    """A memo table that starts anew when it is full; what it holds never changes a result, only the time."""
+    """A memo table that starts anew when it is full; what it holds never changes a result, only the time.
 
-    def __init__(self, make, limit: int = 200_000):
+    Keys with a length over longest are made each time and never kept, so that entries, too, have a bounded size.
+    """
+
+    def __init__(self, make, limit: int = 200_000, longest: int | None = None):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.longest = make, limit, longest
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        self[key] = made = self.make(key)
+        made = self.make(key)
+        if self.longest is None or len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = made
         return made

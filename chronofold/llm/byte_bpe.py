@@ -8,10 +8,12 @@ enough once its first and last tokens are compatible with the tokens outside. De
 bytes are concatenated up the tree.
 
 A text is first cut into the matches of the tokenizer's pattern and each is encoded on its own. Encoded
-matches are memoised per worker in a table of bounded size.
+matches of up to KEPT characters are memoised per worker in a table of bounded size.
 
 Defined results: null and empty texts have no tokens; repeated rows are encoded each; an empty table gives an empty
-result; columns other than doc_id and text are not read. Special tokens in a text are ordinary text.
+result; very long texts, and very long matches in them, are encoded whole, in memory in proportion to the text and time
+n log n; a null doc_id is kept; columns other than doc_id and text are not read, whatever their names. Special tokens in a text are
+ordinary text.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from chronofold.llm._common import Bounded, arrow, rows_in
 
 #: Bytes that the plain merge loop takes on at once.
 LEAF = 48
+#: Token ids that are decoded at once; and the longest match, in characters, that is memoised.
+IDS, KEPT = 4096, 64
 
 
 class Codec:
@@ -36,7 +40,7 @@ class Codec:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.fits = Bounded(self._fits)
-        self.packed = Bounded(lambda piece: np.array(self.encode_bytes(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes())
+        self.packed = Bounded(lambda piece: np.array(self.encode_bytes(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes(), longest=KEPT)
 
     def merge(self, data: bytes) -> list[int]:
         """A token as it is, else the plain loop."""
@@ -86,7 +90,12 @@ class Codec:
         return b"".join(map(self.packed.__getitem__, self.find(text))) if text else b""
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes of packed ids: of each leaf of IDS ids, then concatenated pair by pair up the tree."""
+        row, get = np.frombuffer(ids, "<u4"), self.bytes_of.__getitem__
+        parts = [b"".join(map(get, row[k : k + IDS].tolist())) for k in range(0, len(row), IDS)]
+        while len(parts) > 1:
+            parts = [b"".join(parts[k : k + 2]) for k in range(0, len(parts), 2)]
+        return parts[0] if parts else b""
 
 
 @lru_cache(maxsize=2)

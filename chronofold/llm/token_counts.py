@@ -2,12 +2,12 @@
 
 Each task encodes its documents and emits one count per length it met, so what is shuffled is bounded by the number of
 different lengths, not of documents. From the histogram, suffix sums give for every context limit L that occurs as a
-length: how many documents are at least that long, the tokens they hold, and what remains of the corpus if every document is
-truncated to L tokens. Suffix sums go by two levels, over blocks of lengths and within a block, so no task sorts all
+length: how many documents are at least that long, the tokens they hold, what remains of the corpus if every document is
+truncated to L tokens, and the share of documents of at most that length (the quantile q is the least length whose share is q or more). Suffix sums go by two levels, over blocks of lengths and within a block, so no task sorts all
 lengths. answers() reads totals, quantiles and truncated totals for given limits off the same table.
 
-Defined results: null and empty texts have length 0; repeated rows count each; an empty table gives an empty histogram;
-columns other than text are not read.
+Defined results: null and empty texts have length 0; repeated rows count each; very long texts are encoded whole; an empty table
+gives an empty histogram; columns other than text are not read.
 """
 
 from __future__ import annotations
@@ -40,12 +40,12 @@ def histogram(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
-    """n_tokens, n_docs, docs_from and tokens_from (of documents at least so long), truncated_total (all cut to n_tokens)."""
+    """n_tokens, n_docs, docs_from and tokens_from (of documents at least so long), truncated_total (all cut to n_tokens), share_upto."""
     rows = materialize(hist.withColumn("block", F.expr(f"n_tokens DIV {WIDTH}")))
     sums = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     later, earlier = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1), W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     none = F.lit(0).cast("long")
-    sums = sums.select("block", F.coalesce(F.sum("d").over(later), none).alias("d_after"), F.coalesce(F.sum("t").over(later), none).alias("t_after"), F.coalesce(F.sum("t").over(earlier), none).alias("t_before"))
+    sums = sums.select("block", F.sum("d").over(W.partitionBy()).alias("d_all"), F.coalesce(F.sum("d").over(later), none).alias("d_after"), F.coalesce(F.sum("t").over(later), none).alias("t_after"), F.coalesce(F.sum("t").over(earlier), none).alias("t_before"))
     down = W.partitionBy("block").orderBy(F.desc("n_tokens")).rowsBetween(W.unboundedPreceding, 0)
     up = W.partitionBy("block").orderBy("n_tokens").rowsBetween(W.unboundedPreceding, -1)
     own = F.col("n_docs") * F.col("n_tokens")
@@ -54,7 +54,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
         "tokens_from": F.sum(own).over(down) + F.col("t_after"),
         "below": F.coalesce(F.sum(own).over(up), none) + F.col("t_before"),
     })
-    return out.select("n_tokens", "n_docs", "docs_from", "tokens_from", (F.col("below") + F.col("docs_from") * F.col("n_tokens")).alias("truncated_total"))
+    return out.select("n_tokens", "n_docs", "docs_from", "tokens_from", (F.col("below") + F.col("docs_from") * F.col("n_tokens")).alias("truncated_total"), (1 - (F.col("docs_from") - F.col("n_docs")) / F.col("d_all")).alias("share_upto"))
 
 
 def answers(hist: DataFrame, limits: Sequence[int], quantiles: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:

@@ -277,6 +277,8 @@ def test_bpe_is_that_of_the_library(spark, sf, edge):
         ids = c.encode(t)
         assert np.frombuffer(ids, "<u4").tolist() == own.encode_ordinary(t)
         assert c.decode(ids) == t.encode()
+    assert c.decode(np.arange(3 * byte_bpe.IDS + 7, dtype="<u4").tobytes()) == b"".join(c.bytes_of[i] for i in range(3 * byte_bpe.IDS + 7))
+    assert max(map(len, c.packed)) <= byte_bpe.KEPT, "no long match stays in memory"
     assert all(c.loop(t) == [r] for t, r in c.ranks.items()), "each token is the encoding of its own bytes"
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in byte_bpe.digests(edge, path, pattern).collect()}
     sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -300,7 +302,11 @@ def test_token_counts(spark, sf, edge, empty):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("text").unionByName(edge.select("text"))
     lengths = [len(byte_bpe.codec(path, pattern).encode(r.text)) // 4 for r in docs.collect()]
     hist = token_counts.histogram(docs, path, pattern)
-    got = {tuple(r) for r in token_counts.suffix_sums(hist).collect()}
+    rows = token_counts.suffix_sums(hist).collect()
+    assert all(abs(r.share_upto - sum(y <= r.n_tokens for y in lengths) / len(lengths)) < 1e-12 for r in rows)
+    for q in (0.1, 0.5, 0.99):
+        assert min(r.n_tokens for r in rows if r.share_upto >= q - 1e-12) == sorted(lengths)[-(-int(q * 1000) * len(lengths) // 1000) - 1]
+    got = {tuple(r)[:5] for r in rows}
     assert got == {(x, lengths.count(x), sum(y >= x for y in lengths), sum(y for y in lengths if y >= x), sum(min(x, y) for y in lengths)) for x in set(lengths)}
     answers = {(r.question, r.argument): r.answer for r in token_counts.answers(hist, [100, 2048]).collect()}
     assert answers["tokens", 0.0] == sum(lengths) and answers["documents", 0.0] == len(lengths)
