@@ -5,14 +5,14 @@ repetition within the whole document; one tanh layer encodes it. Gated attention
 gives each passage a weight, the weighted mean of the codes is the document's representation, and a logistic unit scores
 it. All weights are learned together from labels of documents alone, by gradient steps written out in numpy.
 
-Only labelled documents whose crc32(doc_id as text) mod 3 is not 1 are learned from, at most SAMPLE of them in order of
-a hash of their id: the model's bounded sample. Scoring covers every word of every text, on the executors, some
-hundred documents at a time.
-
-Defined results: a null or empty text is a bag of one passage without words and gets that bag's score; without labels of both
-classes every score is the labels' smoothed mean; labels that are null are not learned from and several of one document
-are averaged; repeated rows are scored each; a null doc_id is not held out; an empty table gives an empty result; other
-columns than doc_id and text are not read.
+Only labelled documents whose crc32(doc_id as text) mod 3 is not 1 are learned from: in order of a hash of their id, at most
+SAMPLE of them and only as many as have PASSAGES passages together. That is the model's bounded sample, and what comes to the driver is
+bounded with it (PASSAGES vectors). Scoring covers every word of every text, on the executors, some hundred documents at a time.
+
+Defined results: a null or empty text is a bag of one passage without words and gets that bag's score; very long texts are scored whole;
+without labels of both classes every score is the labels' smoothed mean; labels that are null are not learned from and several of one
+document are averaged; of rows that share a labelled doc_id, the one whose text has the least hash is learned from; repeated rows are scored
+each; a null doc_id is not held out; an empty table gives an empty result; other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,13 +23,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofold.llm._common import arrow, bounded_sample, rows_in, words_of
+from chronofold.llm._common import arrow, bounded_sample, materialize, rows_in, unmaterialize, words_of
 
 PASSAGE = 64
-#: Labelled documents to learn from, at most.
-SAMPLE = 3000
+#: Labelled documents to learn from, at most, and the passages they may have together (some 10 MB of vectors).
+SAMPLE, PASSAGES = 3000, 80_000
 HASHED, SHAPES = 16, 11
 WIDTH = HASHED + SHAPES + 4
 SYMBOLS = b"#*$%&|<>"
@@ -181,17 +182,26 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on at most sample labelled documents; their passage vectors, not their texts, come to the driver."""
-    chosen = labels.filter(F.col(target).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg(target) >= 0.5).cast("int").alias("y"))
+    """Fit on at most sample labelled documents of at most PASSAGES passages; their passage vectors, not their texts, come to the driver."""
+    chosen = labels.filter(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg(target) >= 0.5).cast("int").alias("y"))
     chosen = bounded_sample(chosen, sample, "doc_id")  # at most sample rows of 12 bytes
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").limit(2 * sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
 
     def run(batches):
         enc = Encoder()
-        for ys, texts in rows_in(batches, "y", "text", size=200):
-            yield pa.RecordBatch.from_pydict({"y": pa.array(ys, pa.int32()), "x": pa.array([enc(t).tobytes() for t in texts], pa.binary())})
-
-    got = sorted((r.y, bytes(r.x)) for r in arrow(rows, run, "y int, x binary").collect())
+        for ids, ys, texts in rows_in(batches, "doc_id", "y", "text", size=200):
+            bags = [enc(t) for t in texts]
+            digests = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "y": pa.array(ys, pa.int32()), "h": pa.array(digests, pa.int64()), "n": pa.array(map(len, bags), pa.int64()), "x": pa.array([b.tobytes() for b in bags], pa.binary())})
+
+    # repeats of a document are settled and passages counted before anything comes to the driver
+    bags = materialize(arrow(rows, run, "doc_id long, y int, h long, n long, x binary"))
+    one = bags.groupBy("doc_id").agg(F.min(F.struct("h", "n")).alias("first")).select("doc_id", "first.*")
+    upto = F.sum("n").over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    fit_in = one.withColumn("upto", upto).filter(F.col("upto") <= PASSAGES).select("doc_id", "h", "n")  # at most sample rows
+    picked = bags.join(F.broadcast(fit_in), ["doc_id", "h", "n"]).groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x"))
+    got = sorted((r.y, bytes(r.x)) for r in picked.collect())
+    unmaterialize(bags)
     return fit([np.frombuffer(x, np.float32).reshape(-1, WIDTH) for _, x in got], np.array([y for y, _ in got]))
 
 

@@ -7,10 +7,15 @@ its documents are kept. The verdict of the host is joined back to the documents.
 
 All counting happens within a row (no exploded words, no shuffle of text); what is shuffled is one slim row per document,
 and per host and task one pair of counts. A host with a third of all rows is summed before the shuffle, and the join back
-is a plain equi-join that Spark broadcasts or splits by its measured size. Windows are compared by 64-bit hashes.
+is a plain equi-join that Spark broadcasts or splits by its measured size. Windows are compared by 64-bit hashes, within one text
+only: a text of L words has a wrong repeat with a chance of L * L / 2^65. That is 3e-8 for a million words, and 2e-4 for any one
+text among 4e10 texts of 400 words (some 100 TB).
 
-Defined results: a null or empty text has no words and fails; null hosts form one host; repeated rows count
-each; an empty table gives an empty result; columns other than doc_id, text and source are not read.
+The mean and variance of the hosts' rates are made of exact sums of whole numbers (rates in units of 1e-9), so that a verdict
+does not hang on the order in which tasks end.
+
+Defined results: a null or empty text has no words and fails; null hosts form one host; repeated rows count each; very long texts are
+counted whole; a null doc_id is kept; an empty table gives an empty result; columns other than doc_id, text and source are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ MAX_REPEAT = 50
 SYMBOLS = "#*$%&|<>"
 #: A host is refused beyond this shrunk rate of failures.
 MAX_HOST_RATE = 0.5
+#: Rates are summed up in units of one part in so many.
+UNITS = 1e9
 #: The prior counts as so many documents at least and at most.
 PRIOR = (1.0, 1000.0)
 #: Refused hosts, and bytes of their names, that are broadcast at most.
@@ -69,9 +76,11 @@ def host_rates(base: DataFrame) -> DataFrame:
     m (1 - m) / v - 1, held within PRIOR.
     """
     hosts = base.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
-    weight = F.when(F.col("v") > 0, F.greatest(F.lit(PRIOR[0]), F.least(F.lit(PRIOR[1]), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(PRIOR[1]))
+    units = F.round(F.col("n_failed") / F.col("n_docs") * UNITS).cast("long").cast("decimal(19,0)")
+    sums = hosts.agg(F.count(F.lit(1)).alias("n"), F.sum(units).cast("double").alias("a"), F.sum(units * units).cast("double").alias("b"))
+    m = F.col("a") / F.col("n") / UNITS
+    prior = sums.select(m.alias("m"), (F.col("b") / F.col("n") / UNITS / UNITS - m * m).alias("v"))
+    weight = F.when(F.col("v") > 1e-12, F.greatest(F.lit(PRIOR[0]), F.least(F.lit(PRIOR[1]), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(PRIOR[1]))
     prior = prior.select(F.struct("m", weight.alias("k")).alias("p"))
     hosts = hosts.withColumn("p", prior.scalar())
     return hosts.select("source", "n_docs", "n_failed", ((F.col("n_failed") + F.col("p.m") * F.col("p.k")) / (F.col("n_docs") + F.col("p.k"))).alias("host_rate"))
@@ -115,8 +124,10 @@ b AS (SELECT t.k, doc_id, source, len(w)::BIGINT AS n_words, length(regexp_repla
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM t LEFT JOIN c USING (k)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
 h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS bad FROM f GROUP BY source),
-p AS (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v FROM h),
-q AS (SELECT m, CASE WHEN v > 0 THEN greatest(1.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS s FROM p),
+u AS (SELECT round(bad / n * 1e9)::HUGEINT AS x FROM h),
+o AS (SELECT count(*) AS n, sum(x)::DOUBLE AS a, sum(x * x)::DOUBLE AS b FROM u),
+p AS (SELECT a / n / 1e9::DOUBLE AS m, b / n / 1e9::DOUBLE / 1e9::DOUBLE - (a / n / 1e9::DOUBLE) * (a / n / 1e9::DOUBLE) AS v FROM o),
+q AS (SELECT m, CASE WHEN v > 1e-12 THEN greatest(1.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS s FROM p),
 hr AS (SELECT source, (bad + m * s) / (n + s) AS rate FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
 FROM f JOIN hr ON f.source IS NOT DISTINCT FROM hr.source

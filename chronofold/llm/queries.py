@@ -49,7 +49,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = quality_classifier.train(docs, read_table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model).withColumn("held_out", quality_classifier.held_out(F.col("doc_id")))
+    return quality_classifier.score(docs, model).select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

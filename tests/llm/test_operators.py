@@ -387,6 +387,37 @@ def test_classifier_holds_out_and_generalises(spark, edge, empty):
     assert {r.score for r in quality_classifier.score(edge, none).collect()} == {0.5}
 
 
+def test_forward_of_the_classifier_as_written_out():
+    """Gated attention by plain loops, one bag and one passage at a time."""
+    rng = np.random.default_rng(1)
+    bags = [rng.normal(size=(int(k), quality_classifier.WIDTH)).astype(np.float32) for k in rng.integers(1, 6, 30)]
+    model = quality_classifier.fit(bags, np.arange(30) % 2, epochs=3)
+    p, want = model.p, []
+    for bag in bags:
+        codes = [np.tanh(((x - p["mean"]) / p["std"]) @ p["W"] + p["b"]) for x in bag]
+        gates = [float(np.exp(sum(np.tanh(h @ p["V"][:, j]) / (1 + np.exp(-(h @ p["U"][:, j]))) * p["w"][j] for j in range(len(p["w"]))))) for h in codes]
+        z = sum(g / sum(gates) * h for g, h in zip(gates, codes, strict=True))
+        want.append(1 / (1 + np.exp(-(z @ p["c"] + p["d"][0]))))
+    assert np.allclose(model.scores(bags), want, atol=1e-6)
+    assert np.allclose(np.concatenate([model.scores([b]) for b in bags]), want, atol=1e-6), "a bag's score does not hang on its batch"
+
+
+def test_training_rows_are_the_same_whatever_repeats(spark, monkeypatch):
+    """Repeated doc_ids, with equal and other texts, and a budget of passages."""
+    good, bad = "A fair sentence stands here, and another one follows it. ", "### $$ BUY now!!! ### "
+    rows = [(i, (good if i % 2 else bad) * (3 + i % 5), "en", "s", 1) for i in range(90)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int")
+    again = rows + rows[:40] + [(i, "other text " * 9, "en", "s", 1) for i in range(5)]
+    a = quality_classifier.train(spark.createDataFrame(again, DOCS), labels)
+    b = quality_classifier.train(spark.createDataFrame(again[::-1], DOCS).repartition(7), labels)
+    assert all(np.array_equal(a.p[k], b.p[k]) for k in a.p)
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda bags, y: seen.append(bags))
+    monkeypatch.setattr(quality_classifier, "PASSAGES", 20)
+    quality_classifier.train(spark.createDataFrame(again, DOCS), labels)
+    assert 0 < len(seen[0]) <= 20 and sum(map(len, seen[0])) <= 20
+
+
 def test_gradient_of_the_classifier():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(int(k), quality_classifier.WIDTH)).astype(np.float32) for k in rng.integers(1, 6, 40)]
