@@ -2,7 +2,8 @@
 
 Roles are turned round: the few test items are the indexed side, the corpus streams past as queries, and nothing of the
 corpus is shuffled but the pairs found. An item's impacts are divided by its score against itself, so a passage that
-holds the whole item scores 1 and one threshold serves items of every length. Each document is cut into overlapping
+holds the whole item scores 1 and one threshold serves items of every length. Number of items, mean length and document frequencies are
+those of all items, counted by Spark beforehand, so a score never hangs on how the index is cut. Each document is cut into overlapping
 windows of words: 2 W words every W, so that each item of up to W words lies whole in some window. Items are indexed by
 classes of length, W doubling from class to class.
 
@@ -11,12 +12,14 @@ impact in each coarse block of items. Windows with a bound over the threshold ru
 postings in fine blocks: all items at or over the threshold are retrieved (no top-k), then checked for overlap of word
 3-grams with the item's question (all but its last sentence) and its answer (the last sentence).
 
-The index goes to the executors in parts whose size is checked (PART items and PART_BYTES each); a larger benchmark takes more
-passes, never more memory.
+The index goes to the executors in parts of a checked size (PART items and PART_BYTES of text; an item beyond that is a part of its own).
+A larger benchmark takes more passes over the corpus, one after the other: the index of a part is released before the next one is built.
 
-Defined results: null or empty texts match nothing; items without words are never found; items with equal texts are found
-each; repeated documents give repeated pairs once per doc_id; a null doc_id is kept as such; an empty table on either
-side gives an empty result; columns other than doc_id, item_id and text are not read.
+Defined results: null or empty texts match nothing; very long texts are searched whole; items without words are never found; items with
+equal texts are found each; an item_id with several texts is found if one of them is; repeated documents give repeated pairs once per
+doc_id, and of several windows that retrieve an item the one with the largest least overlap counts, then the largest score (6 places); a null
+doc_id is kept as such; an empty table on either side gives an empty result; columns other than doc_id, item_id and text are
+not read.
 """
 
 from __future__ import annotations
@@ -24,14 +27,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm._common import Bounded, arrow, rows_in, words_of
+from chronofold.llm._common import Bounded, arrow, materialize, rows_in, unmaterialize, words_of
 
 K1, B = 1.2, 0.75
 #: Share of an item's score against itself.
@@ -39,8 +44,10 @@ THRESHOLD = 0.6
 #: Share of the question's, and of the answer's, word 3-grams.
 OVERLAP = 0.6
 LEAST_WIDTH = 64
-COARSE, FINE = 100, 8
-PART, PART_BYTES = 50_000, 32_000_000
+#: Coarse blocks at most, cells of their table of bounds at most, and items in a fine block.
+COARSE, CELLS, FINE = 100, 1 << 23, 8
+#: Items, and bytes of their texts, in one part of the index.
+PART, PART_BYTES = 50_000, 8_000_000
 END = 1 << 60
 
 _EDGES = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
@@ -61,39 +68,60 @@ def grams(terms: list[bytes], n: int = 3) -> set[tuple[bytes, ...]]:
     return {tuple(terms[i : i + n]) for i in range(len(terms) - n + 1)} if n else set()
 
 
-def question_answer(text: str) -> tuple[set, set]:
-    """3-grams of both parts; an item of one sentence is halved."""
+def question_answer(text: str) -> tuple[list[bytes], list[bytes]]:
+    """Terms of both parts; an item of one sentence is halved."""
     parts = [t for t in map(terms_of, re.split(r"(?<=[.!?])\s+", text)) if t]
     if len(parts) == 1:
         half = len(parts[0]) // 2
         parts = [parts[0][:half] or parts[0], parts[0][half:]]
-    return grams([t for p in parts[:-1] for t in p]), grams(parts[-1])
+    return [t for p in parts[:-1] for t in p], parts[-1]
+
+
+def width_of(n_words: int) -> int:
+    """Words of a chunk for items of this length."""
+    return LEAST_WIDTH << max(0, math.ceil(math.log2(n_words / LEAST_WIDTH)))
+
+
+class Statistics:
+    """Of all items: their number, their mean length and the document frequencies of (at least) the terms at hand."""
+
+    def __init__(self, n: int, mean: float, df: dict[bytes, int]):
+        self.n, self.mean, self.df = n, mean, df
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Statistics:
+        rows = [t for t in map(terms_of, texts) if t]
+        return cls(len(rows), sum(map(len, rows)) / max(1, len(rows)), Counter(t for r in rows for t in set(r)))
+
+    def impacts(self, terms: list[bytes]) -> dict[bytes, float]:
+        """Of each term of an item its share of the item's score against itself."""
+        norm = K1 * (1 - B + B * len(terms) / self.mean)
+        out = {t: math.log(1 + (self.n - self.df[t] + 0.5) / (self.df[t] + 0.5)) * tf * (K1 + 1) / (tf + norm) for t, tf in Counter(terms).items()}
+        own = sum(out.values())
+        return {t: x / own for t, x in out.items()}
 
 
 class Index:
     """Items of one class of length. Items are numbered in order of length, so that those of a block resemble each other."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int):
-        rows = sorted(((terms_of(t), i, t) for i, t in items), key=lambda r: (len(r[0]), r[1]))
-        self.width, self.ids = width, [i for _, i, _ in rows]
-        self.parts = [question_answer(t) for _, _, t in rows]
-        n, mean = len(rows), sum(len(r[0]) for r in rows) / len(rows)
-        df = Counter(t for r in rows for t in set(r[0]))
-        idf = {t: math.log(1 + (n - k + 0.5) / (k + 0.5)) for t, k in df.items()}
-        self.term_ids = {t: k for k, t in enumerate(df)}
-        lists: list[list[tuple[int, float]]] = [[] for _ in df]
-        for k, (terms, _, _) in enumerate(rows):
-            norm = K1 * (1 - B + B * len(terms) / mean)
-            impact = {t: idf[t] * tf * (K1 + 1) / (tf + norm) for t, tf in Counter(terms).items()}
-            own = sum(impact.values())
-            for t, x in impact.items():
-                lists[self.term_ids[t]].append((k, x / own))
+    def __init__(self, items: list[tuple[int, str]], width: int, stats: Statistics):
+        rows = sorted(((terms_of(t), i, t) for i, t in items), key=lambda r: (len(r[0]), r[1], r[2]))
+        self.width, self.ids, n = width, [i for _, i, _ in rows], len(rows)
+        self.term_ids: dict[bytes, int] = {}
+        lists: list[list[tuple[int, float]]] = []
+        self.parts = []  # question and answer of each item as numbers of terms
+        for k, (terms, _, text) in enumerate(rows):
+            for t, x in stats.impacts(terms).items():
+                if (j := self.term_ids.setdefault(t, len(lists))) == len(lists):
+                    lists.append([])
+                lists[j].append((k, x))
+            self.parts.append(tuple(np.array([self.term_ids[t] for t in p], np.int32) for p in question_answer(text)))
         self.items = [[k for k, _ in x] + [END] for x in lists]
         self.impacts = [[w for _, w in x] for x in lists]
         self.most = [max(x) for x in self.impacts]
         #: Of each list, the largest impact in each fine block that it touches.
         self.block_most = [self._blocks(x) for x in lists]
-        self.coarse = max(1, -(-n // COARSE))
+        self.coarse = max(1, -(-n // max(1, min(COARSE, CELLS // len(lists)))))
         self.bounds = np.zeros((len(lists), -(-n // self.coarse)), np.float32)
         for t, x in enumerate(lists):
             for k, w in x:
@@ -155,12 +183,12 @@ class Index:
             c[0] = own[c[1]]
 
 
-def indexes(items: list[tuple[int, str]]) -> list[Index]:
+def indexes(items: list[tuple[int, str]], stats: Statistics) -> list[Index]:
     by_width: dict[int, list[tuple[int, str]]] = {}
     for i, t in items:
         if n := len(words_of(t)):
-            by_width.setdefault(LEAST_WIDTH << max(0, math.ceil(math.log2(n / LEAST_WIDTH))), []).append((i, t))
-    return [Index(x, w) for w, x in sorted(by_width.items())]
+            by_width.setdefault(width_of(n), []).append((i, t))
+    return [Index(x, w, stats) for w, x in sorted(by_width.items())]
 
 
 class Searcher:
@@ -202,44 +230,72 @@ class Searcher:
                 if found:
                     t = text_of[window[starts[j]]]
                     lo = (window[starts[j]] - first[t]) * width
-                    seen = grams([term(w) for w in words[t][lo : lo + 2 * width]])
+                    passage = [self.known[w] for w in words[t][lo : lo + 2 * width]]
+                    seen: dict[int, set] = {}
                     for item, score in found:
-                        q, r = (self.share(x, seen, words[t][lo : lo + 2 * width]) for x in index.parts[item])
+                        q, r = (self.share(x.tolist(), passage, seen) for x in index.parts[item])
                         old = out[t].get(item, (0.0, 0.0, 0.0, 0))
-                        best = max(old[:3], (score, q, r), key=lambda x: (min(x[1:]), x[0]))
+                        best = max(old[:3], (round(score, 6), q, r), key=lambda x: (min(x[1:]), *x))
                         out[t][item] = (*best, old[3] + 1)
         return out
 
     @staticmethod
-    def share(part: set, seen: set, words: list[bytes]) -> float:
+    def share(part: list[int], passage: list[int], seen: dict[int, set]) -> float:
+        """Share of the part's distinct 3-grams (of all its words, if it has fewer) that the passage holds. seen: its grams by length."""
         if not part:
             return 0.0
-        n = len(next(iter(part)))
-        return len(part & (seen if n == 3 else grams([term(w) for w in words], n))) / len(part)
+        n = min(3, len(part))
+        if n not in seen:
+            seen[n] = grams(passage, n)
+        own = grams(part, n)
+        return len(own & seen[n]) / len(own)
+
 
+def _parts(docs: DataFrame, items: DataFrame) -> Iterator[Broadcast]:
+    """The index, part by part; each is released when the next one is asked for.
 
-def _parts(items: DataFrame) -> list[DataFrame]:
-    """The items in parts of a checked size."""
-    items = items.select("item_id", "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    n, size, longest = items.agg(F.count(F.lit(1)), F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
+    Terms and their frequencies over all items are counted by Spark; to the driver come only the rows of one part and the frequencies of
+    its terms, which are no more than its words.
+    """
+    spark = docs.sparkSession
+
+    def run(batches):
+        for ids, texts in rows_in(batches, "item_id", "text", size=200):
+            terms = [terms_of(t) for t in texts]
+            yield pa.RecordBatch.from_pydict({"item_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "n": pa.array(map(len, terms), pa.int64()), "terms": pa.array([sorted(set(t)) for t in terms], pa.list_(pa.binary()))})
+
+    rows = arrow(items.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL"), run, "item_id long, text string, n long, terms array<binary>")
+    rows = materialize(rows.filter("n > 0"))
+    n, words, size, longest = rows.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
     if not n:
-        return []
-    if longest > PART_BYTES:
-        raise ValueError(f"an item of {longest} bytes; a part of the index holds {PART_BYTES}")
+        return
+    df = materialize(rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    # items beyond PART_BYTES stand alone, the others are dealt out by hash into so many parts that each has half of what it may hold
     k = max(-(-n // PART), -(-size // PART_BYTES))
-    return [items] if k == 1 else [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * k)) == j) for j in range(2 * k)]
+    k = 1 if k == 1 else 2 * k
+    at = F.when(F.octet_length("text") > PART_BYTES, F.concat_ws("-", F.lit("one"), "item_id", F.sha2("text", 256))).otherwise(F.pmod(F.xxhash64("item_id", "text"), F.lit(k)).cast("string"))
+    dealt = rows.withColumn("part", at)
+    names = [str(j) for j in range(k)] + ([r.part for r in dealt.filter(F.octet_length("text") > PART_BYTES).select("part").distinct().toLocalIterator()] if longest > PART_BYTES else [])
+    for name in names:
+        own = dealt.filter(F.col("part") == name)
+        got = [(r.item_id, r.text) for r in own.select("item_id", "text").collect()]
+        if not got:
+            continue
+        terms = df.join(own.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi") if len(names) > 1 else df
+        stats = Statistics(n, words / n, {bytes(r.term): r.df for r in terms.toLocalIterator()})
+        shipped = spark.sparkContext.broadcast(indexes(got, stats))
+        yield shipped
+        if len(names) > 1:
+            shipped.destroy()
+    unmaterialize(rows)
+    unmaterialize(df)
 
 
 def find(docs: DataFrame, items: DataFrame, least: float = THRESHOLD) -> DataFrame:
     """Pairs retrieved: doc_id, item_id, score, question_overlap, answer_overlap, n_windows and verified (by OVERLAP)."""
-    spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, n_windows long"
-    found = []
-    for part in _parts(items):
-        built = indexes([(r.item_id, r.text) for r in part.collect()])
-        if not built:
-            continue
-        shipped = spark.sparkContext.broadcast(built)
+    found: list[DataFrame] = []
+    for shipped in _parts(docs, items):
 
         def run(batches, shipped=shipped):
             searchers = [Searcher(x, least) for x in shipped.value]
@@ -250,11 +306,12 @@ def find(docs: DataFrame, items: DataFrame, least: float = THRESHOLD) -> DataFra
                 names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "n_windows"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
-        found.append(arrow(docs.select("doc_id", "text"), run, schema))
-    best = F.max_by(F.struct("score", "question_overlap", "answer_overlap", "n_windows"), F.struct(F.least("question_overlap", "answer_overlap"), F.col("score"))).alias("x")
-    found = reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
-    found = found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")
-    return found.withColumn("verified", F.least("question_overlap", "answer_overlap") >= OVERLAP)
+        # pairs found are few; written, they need the part's index no more
+        found.append(materialize(arrow(docs.select("doc_id", "text"), run, schema)))
+    best = F.max_by(F.struct("score", "question_overlap", "answer_overlap", "n_windows"), F.struct(F.least("question_overlap", "answer_overlap"), "score", "question_overlap", "answer_overlap")).alias("x")
+    every = reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], schema)
+    every = every.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")
+    return every.withColumn("verified", F.least("question_overlap", "answer_overlap") >= OVERLAP)
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -264,11 +321,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, least: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that hold no verified item. Rows are judged where they are read: no join, no shuffle."""
-    for part in _parts(items):
-        built = indexes([(r.item_id, r.text) for r in part.collect()])
-        if not built:
-            continue
-        shipped = docs.sparkSession.sparkContext.broadcast(built)
+    schema, rest = docs.schema, docs
+    parts = _parts(docs, items)
+    shipped = next(parts, None)
+    while shipped is not None:
 
         def run(batches, shipped=shipped):
             searchers = [Searcher(x, least) for x in shipped.value]
@@ -280,5 +336,8 @@ def clean(docs: DataFrame, items: DataFrame, least: float = THRESHOLD) -> DataFr
                     yield piece.filter(pa.array([not any(min(x[1:3]) >= OVERLAP for f in found for x in f[j].values()) for j in range(len(texts))], pa.bool_()))
                 del batch, piece, texts
 
-        docs = arrow(docs, run, docs.schema)
-    return docs
+        before, rest = rest, materialize(arrow(rest, run, schema))
+        if before is not docs:
+            unmaterialize(before)
+        shipped = next(parts, None)
+    return rest

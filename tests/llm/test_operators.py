@@ -102,7 +102,7 @@ def test_wand_finds_what_exhaustive_scoring_finds():
     rng = random.Random(4)
     vocabulary = [f"t{i}" for i in range(60)]
     items = [(i, ". ".join(" ".join(rng.choices(vocabulary, weights=[1 / (j + 1) for j in range(60)], k=rng.randint(3, 20))) for _ in range(2)) + ".") for i in range(70)]
-    index = decontamination.indexes(items)[0]
+    index = decontamination.indexes(items, decontamination.Statistics.of([t for _, t in items]))[0]
     for _ in range(200):
         terms, least = rng.sample(range(len(index.items)), rng.randint(1, min(40, len(index.items)))), rng.choice([0.05, 0.2, 0.5])
         scores = np.zeros(len(index.ids))
@@ -131,6 +131,56 @@ def test_planted_items_are_found_and_clean_documents_left(spark, sf, edge):
     assert decontamination.clean(edge, items).count() == len(EDGE)
 
 
+def brute_leaks(docs, items, least):
+    """Every window against every item: BM25 over statistics of all items, and the overlaps as sets of grams."""
+    D = decontamination
+    stats = D.Statistics.of([t for _, t in items if t])
+    out = {}
+    for i, text in items:
+        terms = D.terms_of(text)
+        if not terms:
+            continue
+        impact, width = stats.impacts(terms), D.width_of(len(terms))
+        parts = D.question_answer(text)
+        for d, doc in docs:
+            w = D.terms_of(doc)
+            for lo in range(0, len(w), width):
+                passage = w[lo : lo + 2 * width]
+                score = sum(impact.get(t, 0.0) for t in set(passage))
+                if score < least - 1e-6:
+                    continue
+                q, a = (len(D.grams(p, n) & D.grams(passage, n)) / len(D.grams(p, n)) if p else 0.0 for p in parts for n in [min(3, len(p))])
+                old = out.get((d, i), (0.0, 0.0, 0.0, 0))
+                out[d, i] = (*max(old[:3], (round(score, 6), q, a), key=lambda x: (min(x[1:]), *x)), old[3] + 1)
+    return {k: (round(v[0], 5), round(v[1], 9), round(v[2], 9), v[3]) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("sizes", [(50_000, 8_000_000), (20, 8_000_000), (50_000, 900)])
+def test_the_whole_search_as_brute_force(spark, monkeypatch, sizes):
+    """One part, many parts, and items that each are a part of their own: the same pairs and scores."""
+    rng = random.Random(9)
+    vocabulary = [f"t{i}" for i in range(90)]
+    some = lambda k: " ".join(rng.choices(vocabulary, weights=[1 / (j + 1) for j in range(90)], k=k))
+    items = [(i, f"{some(rng.randint(2, 30))}. {some(rng.randint(1, 12))}.") for i in range(40)] + [(90, some(200) + ". " + some(9) + "."), (91, "one"), (92, "!"), (93, "")]
+    docs = []
+    for d in range(60):
+        text = items[rng.randrange(len(items))][1].split()
+        for _ in range(rng.randint(0, 4)):
+            if text:
+                text[rng.randrange(len(text))] = rng.choice(vocabulary)
+        docs.append((d, f"{some(rng.randint(0, 150))} {' '.join(text)} {some(rng.randint(0, 150))}"))
+    docs += [(100, None), (101, ""), (102, "one"), (103, some(3000))]
+    monkeypatch.setattr(decontamination, "PART", sizes[0])
+    monkeypatch.setattr(decontamination, "PART_BYTES", sizes[1])
+    dd, di = spark.createDataFrame([(i, t, "", "", 0) for i, t in docs], DOCS), spark.createDataFrame([*items, (None, "x y"), (94, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.score, 5), round(r.question_overlap, 9), round(r.answer_overlap, 9), r.n_windows) for r in decontamination.find(dd, di, 0.5).collect()}
+    want = brute_leaks(docs, items, 0.5)
+    assert got == want and len(want) > 60
+    held = {d for (d, _), x in brute_leaks(docs, items, decontamination.THRESHOLD).items() if min(x[1:3]) >= decontamination.OVERLAP}
+    assert {r.doc_id for r in decontamination.clean(dd, di).collect()} == {d for d, _ in docs} - held
+    assert len(held) > 20
+
+
 def test_long_items_have_windows_of_their_own(spark):
     rng = random.Random(1)
     text = " ".join(f"x{rng.randrange(10**6)}" for _ in range(200)) + ". " + " ".join(f"y{i}" for i in range(30)) + "."
