@@ -2,17 +2,18 @@
 
 A host becomes a canonical key of its labels in reverse, each followed by a dot (``blog.example.net`` ->
 ``net.example.blog.``). A rule's host then is a prefix, and so an interval of keys ``[net., net/)``; intervals nest or
-are apart. A sorted sweep over the rules keeps the stack of active nested intervals and notes it at each boundary
-(rules are a bounded parameter). Urls merge with these boundaries by one sorted window: each url gets the stack of the
-last boundary at or before its key. Of the rules on that stack the one wins whose path is a prefix of the url's
-and whose text is longest.
+are apart. A sorted sweep over the rules keeps the stack of active nested intervals and notes it at each boundary. The stack has a slot
+for each number of labels: a slot holds the last interval of that depth to have opened, and is active where its key is a prefix of the
+boundary's. So the sweep is one window in sorted order, in time linear in the rules.
 
-The window is partitioned by a salt of (page_id, url), each salt with its own copy of the few boundaries, so a host that
-holds a third of all rows is spread over all partitions.
+Urls and boundaries are then dealt out together by ranges of their keys (a hash of the url splits a host that holds a third of all
+rows over several ranges), and swept range by range: each url gets the stack of the last boundary at or before its key. What
+a range needs from before its first boundary is carried in: the last stack of each range, one row a range. Of the rules on the stack the
+one wins whose path is a prefix of the url's and whose text is longest. Rules are never copied, whatever their number.
 
 Defined results: a null url or one without ``://`` has an empty host and path and gets the default verdict; repeated
-rows are judged each on its own; of rules with equal text ``block`` wins; an empty table gives an empty result; other
-columns of the input are ignored.
+rows are judged each on its own; very long urls are judged whole; of rules with equal text ``block`` wins; rules without a host fit nothing;
+an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chronofold.llm._common import materialize
+
 #: Rules by contract: (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Rules are copied to each salt; with more, split them by top-level label and call judge() for each part.
-MAX_RULES = 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,43 +45,45 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
+_STACK = "array<struct<rule:string,verdict:string,rpath:string>>"
+
+
 def boundaries(spark, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    """One row per boundary of the rules' intervals: its key and the stack of rules active from there on."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are copied to each partition")
+    """key and stack: one row per boundary of the rules' intervals, with the rules active from there on."""
     given = spark.createDataFrame([(v, r, *r.partition("/")[::2]) for v, r in rules] or [("", "", "", "")], "verdict string, rule string, rhost string, rpath string")
-    given = given.filter(F.col("rule") != "").select("verdict", "rule", host_key(F.col("rhost")).alias("lo"), F.concat(F.lit("/"), "rpath").alias("rpath"))
-    one = F.struct("rule", "verdict", "rpath", "lo")
+    given = given.filter(F.col("rhost") != "").select(host_key(F.col("rhost")).alias("lo"), F.struct("rule", "verdict", F.concat(F.lit("/"), "rpath").alias("rpath")).alias("r"))
+    hosts = given.groupBy("lo").agg(F.sort_array(F.collect_list("r")).alias("own")).withColumn("depth", F.size(F.split("lo", r"\.")) - 1)
+    depths = sorted({r.partition("/")[0].count(".") + 1 for _, r in rules if r.partition("/")[0]})
+    sorted_sweep = W.orderBy("lo").rowsBetween(W.unboundedPreceding, -1)
+    slots = hosts.select("lo", "own", "depth", *(F.last(F.when(F.col("depth") == d, F.struct("lo", "own")), ignorenulls=True).over(sorted_sweep).alias(f"slot{d}") for d in depths))
+    none = F.expr(f"cast(array() as {_STACK})")
+    active = [F.when((F.col("depth") > d) & F.col("lo").startswith(F.col(f"slot{d}.lo")), F.col(f"slot{d}.own")).otherwise(none) for d in depths]
+    rows = slots.select("lo", "own", (F.concat(*active) if active else none).alias("outer"))
     # a key's prefix ends with a dot; the next byte is a slash, so the interval's end is the key with that last byte raised
-    events = given.select(F.explode(F.array(
-        F.struct(F.col("lo").alias("at"), F.lit(1).alias("opens"), one.alias("r")),
-        F.struct(F.concat(F.expr("substr(lo, 1, length(lo) - 1)"), F.lit("/")).alias("at"), F.lit(0).alias("opens"), one.alias("r")),
-    )).alias("e"))
-    swept = events.agg(F.sort_array(F.collect_list("e")).alias("es"))
-    stack = "array<struct<rule:string,verdict:string,rpath:string,lo:string>>"
-    swept = swept.select(F.aggregate(
-        "es",
-        F.struct(F.expr(f"cast(array() as {stack})").alias("stack"), F.expr(f"cast(array() as array<struct<at:string,stack:{stack}>>)").alias("out")),
-        lambda acc, e: F.transform(  # a let-binding: the new stack is used twice
-            F.array(F.when(e["opens"] == 1, F.concat(acc["stack"], F.array(e["r"]))).otherwise(F.filter(acc["stack"], lambda r: r["lo"] != e["r"]["lo"]))),
-            lambda now: F.struct(now.alias("stack"), F.concat(acc["out"], F.array(F.struct(e["at"].alias("at"), now.alias("stack")))).alias("out")),
-        )[0],
-    )["out"].alias("out"))
-    return swept.select(F.posexplode("out").alias("nth", "b")).select(F.col("b.at").alias("key"), "nth", F.col("b.stack").alias("stack"))
+    return rows.select(F.explode(F.array(
+        F.struct(F.col("lo").alias("key"), F.concat("outer", "own").alias("stack")),
+        F.struct(F.concat(F.expr("substr(lo, 1, length(lo) - 1)"), F.lit("/")).alias("key"), F.col("outer").alias("stack")),
+    )).alias("b")).select("b.*")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule (null where none fits) and verdict of each page; see the module's docstring."""
     spark = pages.sparkSession
-    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     host, path = host_path(F.col("url"))
-    urls = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"), F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).alias("salt"))
-    urls = urls.select("page_id", "host", "path", "salt", host_key(F.col("host")).alias("key"), F.lit(None).cast("int").alias("nth"), F.lit(True).alias("is_url"))
-    marks = boundaries(spark, rules).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    marks = marks.withColumn("is_url", F.lit(False))
-    both = urls.unionByName(marks, allowMissingColumns=True)
-    sweep = W.partitionBy("salt").orderBy("key", "is_url", "nth").rowsBetween(W.unboundedPreceding, 0)
-    merged = both.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).filter("is_url")
+    urls = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"), F.xxhash64("page_id", "url").alias("deal"))
+    urls = urls.select("page_id", "host", "path", host_key(F.col("host")).alias("key"), "deal", F.lit(None).cast(_STACK).alias("stack"), F.lit(True).alias("is_url"))
+    marks = boundaries(spark, rules).withColumn("is_url", F.lit(False))
+    both = urls.unionByName(marks, allowMissingColumns=True).repartitionByRange(ranges, "key", "is_url", "deal")
+    # written, so that a lost executor cannot deal anew, by other ranges, what others have read already
+    dealt = materialize(both.select("*", F.spark_partition_id().alias("range")))
+    last = dealt.filter("NOT is_url").groupBy("range").agg(F.max_by("stack", "key").alias("last"))
+    carried = spark.range(ranges).select(F.col("id").cast("int").alias("range")).join(last, "range", "left")
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    carried = carried.select("range", F.last("last", ignorenulls=True).over(before).alias("carried"))  # one row for each range
+    sweep = W.partitionBy("range").orderBy("key", "is_url").rowsBetween(W.unboundedPreceding, 0)
+    merged = dealt.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).filter("is_url")
+    merged = merged.join(carried, "range", "left").withColumn("active", F.coalesce("active", "carried", F.expr(f"cast(array() as {_STACK})")))
     fits = F.filter("active", lambda r: F.col("path").startswith(r["rpath"]))
     ranked = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["rule"]).alias("n"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
     return merged.withColumn("won", ranked).select("page_id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))

@@ -417,6 +417,30 @@ def test_longest_rule_wins(spark):
     assert url_filters.judge(pages.limit(0), rules).count() == 0
 
 
+def test_many_rules_and_a_hot_host(spark):
+    """Thousands of nested rules, most urls on one host, one very long url; against a walk up the labels."""
+    import time
+
+    rng = random.Random(12)
+    label = lambda: f"l{rng.randrange(12)}"
+    rules = sorted({(rng.choice(["block", "allow"]), ".".join(label() for _ in range(rng.randint(1, 5))) + rng.choice(["/", "/a/", "/a/b"])) for _ in range(12_000)})
+    urls = [f"https://{'l1.l2.l3.l4' if k % 3 else '.'.join(label() for _ in range(rng.randint(1, 6)))}/{rng.choice(['', 'a/', 'a/b/c', 'b'])}" for k in range(3000)] + ["http://l1.l2/a/" + "x" * 300_000, "http://" + "l1." * 20_000 + "l2/a/"]
+    by_host = {}
+    for v, r in rules:
+        by_host.setdefault(r.partition("/")[0], []).append((len(r), r, v))
+
+    def want(url):
+        host, _, path = url.split("://")[1].partition("/")
+        labels = host.split(".")
+        fit = [x for k in range(max(0, len(labels) - 6), len(labels)) for x in by_host.get(".".join(labels[k:]), ()) if ("/" + path).startswith(x[1][x[1].index("/") :])]
+        return max(fit)[1:] if fit else (None, "allow")
+
+    began = time.perf_counter()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert time.perf_counter() - began < 60
+    assert got == {k: want(u) for k, u in enumerate(urls)}
+
+
 # -- quality classifier
 
 
