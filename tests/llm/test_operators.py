@@ -391,6 +391,47 @@ def test_calls_meet_results(spark, empty):
     assert chat_format.format_chat(df.limit(0)).count() == 0
 
 
+def test_types_are_those_of_the_parsed_value(spark):
+    """A number is no string and a string no number, whatever it looks like."""
+    cases = [
+        ("search", '{"query": 5, "limit": "3"}', "type:limit,type:query,unanswered"), ("weather", '{"city": ["x"], "metric": "true"}', "type:city,type:metric,unanswered"),
+        ("search", '{"query": "5", "limit": 3}', "unanswered"), ("weather", '{"city": "x", "metric": true, "days": 1.5}', "type:days,unanswered"), ("weather", '{"city": null}', "type:city,unanswered"),
+        ("search", '{"query": {"a": 1}, "limit": 0.5}', "type:limit,type:query,unanswered"), ("fetch", '["url"]', "bad_arguments,unanswered"), ("fetch", '{"url": "a", "url": "b"}', "bad_arguments,unanswered"), ("fetch", "{}", "missing:url,unanswered"),
+        ("search", json.dumps(json.dumps({"query": "as a string"})), "unanswered"),
+    ]
+    rows = [(k, 0, "assistant", f'{{"tool_calls": [{{"id": "a", "name": "{name}", "arguments": {args}}}]}}') for k, (name, args, _) in enumerate(cases)]
+    got = {r.conv_id: r.errors for r in chat_format.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {k: want for k, (_, _, want) in enumerate(cases)}
+
+
+def test_the_sql_links_as_the_query_does(spark, tmp_path):
+    """Random conversations with calls, results, repeats and faults: query and SQL give the same rows."""
+    duckdb = pytest.importorskip("duckdb")
+    rng, rows = random.Random(21), []
+    arguments = [{"query": "x", "limit": 3}, {"limit": "3"}, {"url": "http://a/b", "z": 1}, {"city": "Rome", "days": 2, "metric": True}, {"city": 5}, {}, {"expression": "1+1"}, [1], "no json", None]
+    for conv in range(80):
+        for turn in range(rng.randint(1, 9)):
+            kind, i = rng.random(), rng.choice("abcd")
+            if kind < 0.35:
+                calls = [{"id": rng.choice([*"abcd", None]), "name": rng.choice(["search", "fetch", "weather", "calculate", "nope"]), "arguments": rng.choice(arguments)} for _ in range(rng.randint(0, 3))]
+                text = json.dumps({"tool_calls": calls} | ({"content": 'He said "so"'} if rng.random() < 0.3 else {}))
+                rows.append((conv, turn, "assistant", text))
+            elif kind < 0.75:
+                rows.append((conv, turn, rng.choice(["tool", "Tool"]), json.dumps({"tool_call_id": i, "content": "done"})))
+            else:
+                rows.append((conv, turn, rng.choice(["user", "system", None, "assistant"]), rng.choice(["hi", None, "{not json", "line\nbreak", "{}"])))
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((tuple(r) for r in chat_format.format_chat(messages).collect()), key=str)
+    messages.coalesce(1).write.parquet(str(tmp_path / "c"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    cur = con.execute(chat_format.ORACLE_SQL)
+    assert [d[0] for d in cur.description] == chat_format.format_chat(messages).columns
+    want = sorted(cur.fetchall(), key=str)
+    assert got == want
+    assert sum(r[6] is not None for r in got) > 30 and sum(r[4] for r in got) > 30 and any("out_of_order" in r[7] for r in got)
+
+
 # -- urls
 
 
