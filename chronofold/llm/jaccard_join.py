@@ -2,26 +2,33 @@
 
 A size-aware heavy-light join. Equal sets fall into classes first; all else happens between class representatives.
 
-* Light sets (up to a size chosen by cost) enumerate their subsets of the fixed sizes c at which they can meet a partner:
+* Light sets (up to a size chosen by cost) meet each other by their subsets of the fixed sizes c at which they can have a partner:
   two sets of sizes s and t link exactly if they share a subset of c(s, t) = ceil(0.8 (s + t) / 1.8) shingles. In a group
   that shares a subset, every link is implied by links to the smallest set, so a star of candidates is enough.
 * Heavy sets are found by scanning inverted lists. A set needs to be in the lists of its n - ceil(0.8 n) + 1 first
   shingles only, in an order common to all documents: least frequent first. Frequencies come from a count sketch over all
-  shingles of all documents, of fixed size; its errors may lengthen lists but cannot lose a link, since any common order is right.
-  Light sets stand in the lists too, for their heavy partners.
+  shingles of all documents, of fixed size, summed up by a tree of tasks; its errors may lengthen lists but cannot lose a link, since any
+  common order is right. Light sets large enough for a heavy partner stand in the lists too, and a list without a heavy member is
+  dropped: pairs of light sets are left to the subsets.
+
+The boundary is the size at which subsets to make and list postings to scan, together, cost least. Numbers of subsets are exact; the
+length of each list that a small set would stand in comes from the sketch. Sizes beyond MOST need no look: there a set's subsets outnumber
+its postings times 2.5e11 documents.
 
 Lists may be long (thousands of near copies), so pairs are never emitted: the members of a list become a star around its
-smallest one (its hub), linear in the postings. Members that by their sizes and small bitmaps can link with
-nobody on their list leave first; then, with their texts, members of a hub are checked in blocks of at most BLOCK sets, all
+smallest one (its hub), linear in the postings. Members of a hub are dealt into blocks of at most BLOCK. Members that by their sizes and
+small bitmaps can link with nobody in their block are left out; the others, with their texts, are checked block by block, all
 pairs of a block at once, exactly, and only a spanning forest of the links is emitted. Where a hub has several blocks, members outside the
-hub's largest component meet every other block afterwards. So no pair of a list goes unchecked unless its
-ends are already connected. Components come from rounds of large-star and small-star steps over the forest's edges,
-whose tables are cut off in the shared folder.
+hub's largest component then meet every other block, again by bitmaps first and by texts only where those leave a chance. So no pair of a
+list goes unchecked unless its ends are already connected. Components come from rounds of large-star and small-star steps over the
+forest's edges, whose tables are cut off in the shared folder. Joins on a key that may be hot (a very common text, a hub, the root of a large
+component) have one row a key on one side, so that adaptive execution can split the other.
 
-Sets are compared as sets of 64-bit shingle hashes; classes as 128-bit digests.
+Sets are compared as sets of 64-bit shingle hashes; classes as 128-bit digests. Two sets of n shingles each have a wrong shingle in common
+with a chance of n * n / 2^64: 5e-14 for texts of a thousand words; and for a wrong link, as many as the bound still lacks must meet.
 
-Defined results: a null or empty text has no shingles and is linked with nothing; a text of fewer than 5 words has one; ties and
-repeated rows are copies; rows with a null doc_id get the component of their text's class (null if it has no other); of
+Defined results: a null or empty text has no shingles and is linked with nothing; a text of fewer than 5 words has one; very long texts
+count whole; ties and repeated rows are copies; rows with a null doc_id get the component of their text's class (null if it has no other); of
 rows that share a doc_id but not the text, each is judged by its own text; an empty table gives an empty result; columns other than
 doc_id and text are not read.
 """
@@ -30,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -38,6 +46,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,14 +57,16 @@ N = 5
 PERCENT = 80
 #: Counters of the sketch, and into how many rows it is cut.
 SKETCH, PARTS = 1 << 21, 64
-#: Bits of the filter over the ids of documents whose texts are fetched (half a megabyte).
-FILTER = 1 << 22
+#: Sketches that one task sums up.
+FAN = 64
+#: Least and most bits of the filter over the ids of documents whose texts are fetched (half a megabyte to 32).
+FILTER = (1 << 22, 1 << 28)
 #: Sets that are checked against each other at once.
 BLOCK = 512
 #: Least and most bits of the bitmaps by which members of a list are compared before their texts are fetched.
 BITS = (1024, 1 << 17)
-#: Light sets are at most this large, whatever the costs say; scanning a posting costs so much more than making a subset.
-MOST_LIGHT, LIST_COST = 12, 5
+#: Sets up to this size may be light. Comparing two bitmaps costs so much of what making a subset costs.
+MOST, COMPARE = 64, 0.1
 
 _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Odd factors: powers of the golden ratio's.
@@ -109,20 +120,35 @@ def subset_sizes(n: int) -> tuple[int, ...]:
     return tuple(sorted({c for t in partners if (c := least_overlap(n, t)) <= min(n, t)}))
 
 
-def choose_boundary(histogram: dict[int, int]) -> int:
-    """The largest size of light sets, so that subsets and list postings together cost least."""
+def n_subsets(n: int) -> int:
+    return sum(comb(n, c) for c in subset_sizes(n))
+
+
+def meets_heavy(n: int, light: int) -> bool:
+    """Whether a set of this size may link with one of more than light shingles."""
+    return 100 * n >= PERCENT * max(n, light + 1)
+
+
+def choose_boundary(costs: dict[int, tuple[int, float]]) -> int:
+    """The largest size of light sets. costs: by size, the number of sets and what scanning their lists costs, all told."""
+
+    def cost(x: int) -> float:
+        return sum((k * n_subsets(n) if n <= x else 0) + (lists if meets_heavy(n, x) else 0) for n, (k, lists) in costs.items())
+
+    return min(range(MOST + 1), key=cost)
 
-    def cost(x: int) -> int:
-        return sum(k * (sum(comb(n, c) for c in subset_sizes(n)) if n <= x else prefix_length(n) * LIST_COST) for n, k in histogram.items())
 
-    return min(range(MOST_LIGHT + 1), key=cost)
+def prefix(s: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The shingles in whose lists a set stands: the least frequent ones. s is sorted, so ties go by hash."""
+    return s[np.argsort(level_of(s, level), kind="stable")[: prefix_length(len(s))]]
 
 
 def signatures(s: np.ndarray, level: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of inverted lists and keys of subsets of one set."""
-    first = s[np.argsort(level[(s % np.uint64(SKETCH)).astype(np.int64)], kind="stable")[: prefix_length(len(s))]]  # s is sorted: ties go by hash
+    none = np.empty(0, np.uint64)
+    first = prefix(s, level) if meets_heavy(len(s), light) else none
     if len(s) > light:
-        return first, np.empty(0, np.uint64)
+        return first, none
     subs = [_fold(np.array(x, np.uint64), c) for c in subset_sizes(len(s)) for x in combinations(s.tolist(), c)]
     return first, np.array(subs, np.uint64)
 
@@ -132,42 +158,85 @@ def _fold(x: np.ndarray, seed: int) -> int:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Per document doc_id, n, digest; besides, rows with part and counts: the sketch of each task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+    """Per document doc_id, n, digest and, of small sets, the shingles; besides, rows with task, part and counts: the sketch of each task."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("small", pa.binary()), ("task", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        shingle, sketch = Shingler(), np.zeros(SKETCH, np.int64)
+        shingle, sketch, task = Shingler(), np.zeros(SKETCH, np.int64), TaskContext.get().partitionId()
         for ids, texts in rows_in(batches, "doc_id", "text", size=200):
             sets = shingle(texts)
             np.add.at(sketch, (np.concatenate(sets) % np.uint64(SKETCH)).astype(np.int64), 1)
             digest = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), "<i8").reshape(-1, 2)
+            small = [s.tobytes() if 0 < len(s) <= MOST else None for s in sets]
             none = pa.nulls(len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
-        rows = [(k, zlib.compress(c.astype("<u4").tobytes(), 1)) for k, c in enumerate(np.split(sketch, PARTS)) if c.any()]
-        none = pa.nulls(len(rows)).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([k for k, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(small, pa.binary()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+        rows = [(k, zlib.compress(c.astype("<u8").tobytes(), 1)) for k, c in enumerate(np.split(sketch, PARTS)) if c.any()]
+        none = pa.nulls(len(rows))
+        yield pa.RecordBatch.from_arrays([*[none.cast(pa.int64())] * 4, none.cast(pa.binary()), pa.array([task] * len(rows), pa.int64()), pa.array([k for k, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], schema=schema)
 
-    return arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, hi long, lo long, part int, counts binary")
+    return arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, hi long, lo long, small binary, task long, part int, counts binary")
 
 
 def _levels(sketches: DataFrame) -> np.ndarray:
-    """Twice the logarithm of each counter's sum: SKETCH bytes, whatever the input."""
+    """Twice the logarithm of each counter's sum: SKETCH bytes, whatever the input.
 
-    def run(batches):
-        sums: dict[int, np.ndarray] = {}
-        for parts, counts in rows_in(batches, "part", "counts", size=16):
-            for k, c in zip(parts, counts, strict=True):
-                add = np.frombuffer(zlib.decompress(c), "<u4").astype(np.int64)
-                sums[k] = sums[k] + add if k in sums else add
-        for k, c in sums.items():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "level": pa.array([(2 * np.log2(c + 1)).astype(np.uint8).tobytes()], pa.binary())})
+    Sums go up a tree, FAN sketches to a task, so that no task gets more than FAN of them, however many tasks read the corpus.
+    """
 
+    def run(batches):
+        # rows come in order of task and part: one sum is held at a time
+        key, total = None, None
+        done = lambda: pa.RecordBatch.from_pydict({"task": pa.array([key[0]], pa.int64()), "part": pa.array([key[1]], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+        for tasks, parts, counts in rows_in(batches, "task", "part", "counts", size=16):
+            for t, k, c in zip(tasks, parts, counts, strict=True):
+                add = np.frombuffer(zlib.decompress(c), "<u8")
+                if (t, k) != key:
+                    if key is not None:
+                        yield done()
+                    key, total = (t, k), add
+                else:
+                    total = total + add
+        if key is not None:
+            yield done()
+
+    n = (sketches.agg(F.max("task")).first()[0] or 0) + 1
+    rows = sketches.select("task", "part", "counts")
+    while True:
+        n = -(-n // FAN)
+        rows = rows.withColumn("task", F.expr(f"task DIV {FAN}")).repartition(max(1, n * PARTS // 4), "task", "part").sortWithinPartitions("task", "part")
+        rows = arrow(rows, run, "task long, part int, counts binary")
+        if n == 1:
+            break
+        rows = materialize(rows)
     out = np.zeros((PARTS, SKETCH // PARTS), np.uint8)
-    for r in sketches.select("part", "counts").repartition(PARTS // 4, "part").mapInArrow(run, "part int, level binary").collect():
-        out[r.part] = np.frombuffer(bytes(r.level), np.uint8)
+    for r in rows.toLocalIterator():  # one row for each part
+        out[r.part] = (2 * np.log2(np.frombuffer(zlib.decompress(bytes(r.counts)), "<u8").astype(np.float64) + 1)).astype(np.uint8)
     return out.ravel()
 
 
+def _list_costs(small: DataFrame, level: np.ndarray) -> dict[int, tuple[int, float]]:
+    """By size of the small sets: how many there are, and what it costs to stand in their lists (each: a posting and, of its block, bitmaps)."""
+    shipped = small.sparkSession.sparkContext.broadcast(level)
+    price = 1 + COMPARE * np.minimum(BLOCK, 2 ** (np.arange(256) / 2) - 1)
+
+    def run(batches):
+        out: dict[int, list[float]] = defaultdict(lambda: [0, 0.0])
+        for (sets,) in rows_in(batches, "small", size=2000):
+            for b in sets:
+                s = np.frombuffer(b, np.uint64)
+                got = out[len(s)]
+                got[0] += 1
+                got[1] += float(price[level_of(prefix(s, shipped.value), shipped.value)].sum())
+        yield pa.RecordBatch.from_pydict({"n": pa.array(out.keys(), pa.int64()), "k": pa.array([x[0] for x in out.values()], pa.int64()), "cost": pa.array([x[1] for x in out.values()], pa.float64())})
+
+    rows = arrow(small.select("small"), run, "n long, k long, cost double").groupBy("n").agg(F.sum("k").alias("k"), F.sum("cost").alias("cost"))
+    return {r.n: (r.k, r.cost) for r in rows.collect()}  # at most MOST rows
+
+
+def level_of(s: np.ndarray, level: np.ndarray) -> np.ndarray:
+    return level[(s % np.uint64(SKETCH)).astype(np.int64)]
+
+
 def bitmap(s: np.ndarray) -> bytes:
     """Parities of a set's counts in buckets: two bitmaps differ in no more bits than the sets differ in elements.
 
@@ -190,9 +259,11 @@ def _postings(docs: DataFrame, level: np.ndarray, light: int) -> DataFrame:
     return arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, lists array<long>, subsets array<long>, bits binary")
 
 
-def may_link(n: np.ndarray, bits: list[bytes]) -> np.ndarray:
+def may_link(n: np.ndarray, bits: list[bytes], minor: np.ndarray | None = None) -> np.ndarray:
     """Of sets with these sizes and bitmaps, which may link with any other: no link is ever ruled out.
 
+    minor: only pairs with one of these sets at least are looked at.
+
     Sets of sizes s and t that differ in d elements have (s + t - d) / 2 in common, and link if PERCENT (s + t + d) <= 100 (s + t - d).
     """
     out = np.zeros(len(n), bool)
@@ -212,6 +283,8 @@ def may_link(n: np.ndarray, bits: list[bytes]) -> np.ndarray:
                 near = PERCENT * np.maximum(n[own[b]], n[k]) <= 100 * np.minimum(n[own[b]], n[k])
                 if a == b:
                     near[x] = False
+                if minor is not None and not minor[k]:
+                    near &= minor[own[b]]
                 near = np.flatnonzero(near)
                 if len(near):
                     d = np.bitwise_count(other[near] ^ m[x]).sum(1, dtype=np.int64)
@@ -222,28 +295,23 @@ def may_link(n: np.ndarray, bits: list[bytes]) -> np.ndarray:
     return out
 
 
-def _likely(members: DataFrame, partitions: int) -> DataFrame:
-    """Members (hub, blocks, node, i, n, bits) without those whose sizes and bitmaps rule out any link in the whole list.
-
-    Only lists of one block are looked at; in others a member's partners may be elsewhere.
-    """
-    rows = members.repartition(partitions, "hub", "i").sortWithinPartitions("hub", "i", "node").select("hub", "i", "blocks", "node", "n", "bits")
+def _likely(groups: DataFrame, partitions: int) -> DataFrame:
+    """Of groups (hub, i, j, node, comp, minor, n, bits) the rows that by size and bitmap may link with another of their group."""
+    rows = groups.repartition(partitions, "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "node").select("hub", "i", "j", "node", "comp", "minor", "n", "bits")
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+    batch = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], ["hub", "i", "j", "node", "comp", "minor"])
 
     def run(batches):
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for (hub, i), group in _runs(batches, 2):
-            if group[0][0] == 1:
-                may = may_link(np.array([g[2] for g in group], np.int64), [g[3] for g in group])
-                group = [g for g, ok in zip(group, may, strict=True) if ok]
-            for blocks, node, _, _ in group:
-                for column, value in zip(out, (hub, blocks, node, i), strict=True):
-                    column.append(value)
-            if len(out[0]) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32())], ["hub", "blocks", "node", "i"])
-                out = ([], [], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32())], ["hub", "blocks", "node", "i"])
-
-    return arrow(rows, run, "hub long, blocks int, node long, i int")
+        out: list[tuple] = []
+        for key, group in _runs(batches, 3):
+            may = may_link(np.array([g[3] for g in group], np.int64), [g[4] for g in group], np.array([g[2] for g in group]))
+            out += [(*key, *g[:3]) for g, ok in zip(group, may, strict=True) if ok]
+            if len(out) > 5000:
+                yield batch(out)
+                out = []
+        yield batch(out)
+
+    return arrow(rows, run, "hub long, i int, j int, node long, comp long, minor boolean")
 
 
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -359,16 +427,29 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is one of ids.
+    """The rows of docs whose doc_id is one of ids (distinct), each doc_id once.
 
-    Before the join, rows pass a bitmap of FILTER bits over hashes of the ids: 4 KB by bucket, so its size is fixed. What it lets through in
-    error, the join drops; it only keeps texts from being shuffled for nothing.
+    Before the join, rows pass a bitmap over hashes of the ids, 16 bits an id within FILTER (4 KB by bucket): its size is bounded. What it lets
+    through in error, the join drops; it only keeps texts from being shuffled for nothing.
     """
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    n = ids.count()
+    bits = min(FILTER[1], max(FILTER[0], 1 << (16 * n).bit_length()))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     marks = ids.select("doc_id", at.alias("at")).groupBy(F.expr("at DIV 32768").alias("_bucket")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("_marks"))
     rows = docs.withColumn("_at", at).withColumn("_bucket", F.expr("_at DIV 32768")).join(F.broadcast(marks), "_bucket")
     rows = rows.filter(F.expr("getbit(cast(conv(hex(substring(_marks, cast((_at % 32768) DIV 8 AS int) + 1, 1)), 16, 10) AS bigint), cast(_at % 8 AS int)) = 1"))
-    return rows.select(*docs.columns).join(ids, "doc_id", "left_semi")
+    return rows.select(*docs.columns).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def _links(groups: DataFrame, docs: DataFrame, partitions: int) -> DataFrame:
+    """Links a, b found in groups (hub, i, j, node, comp, minor, n, bits): by bitmaps, then by the texts of those that are left."""
+    likely = materialize(_likely(groups, partitions))
+    wanted = materialize(likely.select(F.col("node").alias("doc_id")).distinct())
+    texts = materialize(_among(docs.select("doc_id", "text"), wanted).withColumnRenamed("doc_id", "node"))
+    found = materialize(_checked(likely, texts, partitions))
+    for done in (likely, wanted, texts):
+        unmaterialize(done)
+    return found
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -378,15 +459,15 @@ def components(docs: DataFrame) -> DataFrame:
     first = materialize(_sets(docs))
     rows = first.filter(F.col("part").isNull()).select("doc_id", "n", "hi", "lo")
     classes = materialize(rows.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).filter("rep IS NOT NULL"))
+    reps = classes.select(F.col("rep").alias("doc_id"), "n")
     level = _levels(first.filter(F.col("part").isNotNull()))
-    light = choose_boundary({r.n: r.k for r in classes.filter(F.col("n") <= MOST_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()})
+    light = choose_boundary(_list_costs(first.filter("small IS NOT NULL").join(reps.filter(f"n <= {MOST}"), ["doc_id", "n"], "left_semi"), level))
 
-    reps = classes.select(F.col("rep").alias("doc_id"), "n")
     keys = materialize(_postings(docs, level, light).join(reps, ["doc_id", "n"], "left_semi"))
     postings = keys.select(F.col("doc_id").alias("node"), "n", F.explode("lists").alias("key"), F.lit(0).alias("kind")).unionByName(
         keys.select(F.col("doc_id").alias("node"), "n", F.explode("subsets").alias("key"), F.lit(1).alias("kind")))
-    # most keys occur once: count them first (summed before the shuffle), so that only the others go on
-    common = postings.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("kind", "key")
+    # most keys occur once: count them first (summed before the shuffle), so that only the others go on; a list needs a heavy member
+    common = postings.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("most")).filter(f"k > 1 AND (kind = 1 OR most > {light})").select("kind", "key")
     postings = materialize(postings.join(common, ["kind", "key"], "left_semi"))
     hubs = postings.groupBy("kind", "key").agg(F.min(F.struct("n", "node")).alias("hub")).select("kind", "key", F.col("hub.node").alias("hub"))
     stars = materialize(postings.join(hubs, ["kind", "key"]).filter("node != hub").select("hub", "node").distinct())
@@ -395,19 +476,14 @@ def components(docs: DataFrame) -> DataFrame:
     blocks = stars.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = stars.join(blocks, "hub").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     hub_rows = blocks.select("hub", "blocks", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-    members = members.select("hub", "blocks", "node", "i").unionByName(hub_rows).join(keys.select(F.col("doc_id").alias("node"), "n", "bits").dropDuplicates(["node"]), "node")
-    members = materialize(_likely(members, partitions))
-    unmaterialize(keys)
-    wanted = materialize(members.select(F.col("node").alias("doc_id")).distinct())
-    texts = materialize(_among(docs.select("doc_id", "text"), wanted).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"))
-
-    alone = members.select("hub", "i", F.lit(0).alias("j"), "node", F.col("node").alias("comp"), F.lit(True).alias("minor"))
-    forest = materialize(_checked(alone, texts, partitions))
+    sketched = keys.select(F.col("doc_id").alias("node"), "n", "bits").dropDuplicates(["node"])
+    members = members.select("hub", "blocks", "node", "i").unionByName(hub_rows)
+    own = members.select("hub", "i", F.lit(0).alias("j"), "node", F.col("node").alias("comp"), F.lit(True).alias("minor")).join(sketched, "node")
+    forest = _links(own, docs, partitions)
     comps = connected(forest)
 
     # Hubs of several blocks: whoever is outside the hub's largest component meets all other blocks.
-    large = members.filter("blocks > 1").join(comps, "node", "left").select("hub", "blocks", "node", "i", F.coalesce("component", "node").alias("comp"))
-    large = materialize(large)
+    large = materialize(members.filter("blocks > 1").join(comps, "node", "left").select("hub", "blocks", "node", "i", F.coalesce("component", "node").alias("comp")))
     if large.head(1):
         major = large.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
         marked = large.join(major, "hub").withColumn("minor", F.col("comp") != F.col("major"))
@@ -416,10 +492,13 @@ def components(docs: DataFrame) -> DataFrame:
         by_minor = F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_minor")).cast("int")
         rows_minor = marked.filter("minor").select("hub", by_minor.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node", "comp", "minor")
         rows_all = marked.select("hub", F.explode(F.sequence(F.lit(0), F.col("n_minor") - 1)).alias("i"), F.col("i").alias("j"), "node", "comp", F.lit(False).alias("minor"))
-        more = materialize(_checked(rows_minor.unionByName(rows_all), texts, partitions))
+        # a member may be on both sides of a group
+        both = rows_minor.unionByName(rows_all).groupBy("hub", "i", "j", "node", "comp").agg(F.max("minor").alias("minor"))
+        more = _links(both.join(sketched, "node"), docs, partitions)
         comps = connected(forest.unionByName(more))
+        unmaterialize(marked)
 
-    for done in (stars, wanted, members, texts, forest):
+    for done in (keys, stars, large, forest):
         unmaterialize(done)
 
     named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))

@@ -275,6 +275,68 @@ def test_components_as_brute_force(spark, seed):
     assert sorted(map(tuple, got.collect())) == brute_components(rows)
 
 
+def short_variants():
+    """Short texts only, many of them near copies: as links between light sets, each has to be found by a subset."""
+    rng, out = random.Random(11), []
+    for n in (5, 8, 9, 10, 12, 13, 14, 15):
+        for g in range(3):
+            base = [f"s{n}_{g}_{i}" for i in range(n)]
+            out += [base, base[:-1], ["x", *base], [*base, f"y{g}"], base[1:], [*base, "z", "z"]]
+    rng.shuffle(out)
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+def test_light_sets_meet_by_subsets_alone(spark, monkeypatch):
+    """With all sets light nothing comes from the lists: without subsets every link is lost."""
+    rows = short_variants()
+    docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], DOCS)
+    want = brute_components(rows)
+    assert sum(c != i for i, _, c in want) > 60
+    monkeypatch.setattr(jaccard_join, "choose_boundary", lambda costs: 13)
+    assert sorted(map(tuple, jaccard_join.components(docs).collect())) == want
+    whole = jaccard_join.signatures
+    monkeypatch.setattr(jaccard_join, "signatures", lambda s, level, light: (whole(s, level, light)[0], np.empty(0, np.uint64)))
+    sizes = {i: n for i, n, _ in want}
+    got = sorted(map(tuple, jaccard_join.components(docs).collect()))
+    assert all(c == i or 13 in (sizes[i], sizes[c]) or sizes[i] > 13 for i, _, c in got)
+    assert sum(c != i for i, _, c in got) < sum(c != i for i, _, c in want) / 2
+
+
+@pytest.mark.parametrize("light", [0, 6, 9])
+def test_any_boundary_gives_the_same_components(spark, monkeypatch, light):
+    rows = [(i, t) for i, (_, t) in enumerate(short_variants() + variants(3))]
+    monkeypatch.setattr(jaccard_join, "choose_boundary", lambda costs: light)
+    got = jaccard_join.components(spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], DOCS))
+    assert sorted(map(tuple, got.collect())) == brute_components(rows)
+
+
+def test_the_boundary_follows_the_lists():
+    """Short lists: no subsets beyond those that equal the set. Long lists: subsets of larger sets, too, and never for nothing."""
+    n = jaccard_join
+    short = {k: (100, 100 * n.prefix_length(k) * 1.2) for k in range(1, 65)}
+    long = {k: (100, 100 * n.prefix_length(k) * 51.2) for k in range(1, 65)}
+    assert n.choose_boundary(short) <= 4 < n.choose_boundary(long) < 20
+    assert n.choose_boundary({}) == 0
+    assert all(n.n_subsets(k) > n.prefix_length(k) * 2.5e11 for k in range(n.MOST + 1, 120))
+    for costs in (short, long):
+        x = n.choose_boundary(costs)
+        total = lambda y: sum((k * n.n_subsets(s) if s <= y else 0) + (c if n.meets_heavy(s, y) else 0) for s, (k, c) in costs.items())
+        assert total(x) == min(map(total, range(65)))
+
+
+def test_sketches_are_summed_up_a_tree(spark, monkeypatch):
+    rows = [(i, f"a b c d e f{i % 7} g h{i}", "", "", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(23)
+    sketches = lambda: jaccard_join._sets(docs).filter("part IS NOT NULL")
+    flat = jaccard_join._levels(sketches())
+    monkeypatch.setattr(jaccard_join, "FAN", 3)
+    assert np.array_equal(jaccard_join._levels(sketches()), flat)
+    counts = np.zeros(jaccard_join.SKETCH)
+    for s in jaccard_join.Shingler()([r[1] for r in rows]):
+        np.add.at(counts, (s % np.uint64(jaccard_join.SKETCH)).astype(np.int64), 1)
+    assert np.array_equal(flat, (2 * np.log2(counts + 1)).astype(np.uint8))
+
+
 def test_large_hubs_are_checked_in_blocks(spark, monkeypatch):
     """Blocks of 8: hubs of several blocks, with members outside the main component."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
