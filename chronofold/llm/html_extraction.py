@@ -10,13 +10,16 @@ corpus (each of at most SAMPLE_BYTES), whose semantic tags tell articles from ot
 many kinds, with articles in containers of many names, and with menus, notices, adverts, forms, side columns, footers
 and reader comments around and inside them. Sampling bounds the training only; every page is extracted as a whole.
 
+A block refers to its place in the tree of open elements, which holds its path as a mask of hashed bits; so neither time nor memory grows with
+the depth of a page. Vectors of blocks exist some thousand at a time; of a page's sequence only what its two recurrences take in is kept whole.
+
 Scripts, styles, comments in the markup, titles and the like never become blocks; templates, drawings, objects and the like do so
 only where they have no end tag. Formulas are text. Character references are decoded, white
 space within a block becomes one space.
 
 Defined results: null or empty html, and html without main text, give an empty string; repeated rows are extracted each;
-html without tags is one block; unclosed tags, quotes and comments end with the page; an empty table gives an empty result;
-columns other than page_id, url and html are not read.
+html without tags is one block; unclosed tags, quotes and comments end with the page; very long and very deep pages are extracted whole; an
+empty table gives an empty result; columns other than page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +41,8 @@ from chronofold.llm._common import Bounded, arrow, bounded_sample, rows_in
 #: Pages whose text goes into the training pages, at most, and their size.
 SAMPLE, SAMPLE_BYTES = 160, 60_000
 PATH_DIMS, WORD_DIMS, MEASURES = 192, 16, 8
+#: Bits of a path that stand for its innermost tag; blocks whose vectors are held at once.
+INNER, CHUNK = 32, 4096
 WIDTH = PATH_DIMS + WORD_DIMS + MEASURES
 HIDDEN = 12
 
@@ -60,17 +66,71 @@ _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\
 _PARTS = re.compile(r"[a-z]+")
 
 
+class Place:
+    """An open block-level element: its tag and names, its depth, and the bits of all words of its path. The page itself has no tag."""
+
+    __slots__ = ("up", "tag", "names", "depth", "mask")
+
+    def __init__(self, up: Place | None, tag: str, names: str):
+        self.up, self.tag, self.names = up, tag, names
+        self.depth = up.depth + 1 if up else 0
+        self.mask = up.mask if up else 0
+        if up:
+            for word in [f"<{tag}", *_PARTS.findall(names)]:
+                self.mask |= 1 << zlib.crc32(word.encode()) % (PATH_DIMS - INNER)
+
+    def path(self) -> list[tuple[str, str]]:
+        """Tags and names from the outermost element in."""
+        out, at = [], self
+        while at.up:
+            out.append((at.tag, at.names))
+            at = at.up
+        return out[::-1]
+
+
 @dataclass(slots=True)
 class Block:
-    path: tuple[tuple[str, str], ...]
+    place: Place
     text: str
     link_chars: int
 
 
+class _Open:
+    """The stack of open elements. Counts by tag tell at once whether a search down the stack can find anything."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, Place]] = []
+        self.count: Counter[str] = Counter()
+        self.page = Place(None, "", "")
+
+    @property
+    def place(self) -> Place:
+        return self.stack[-1][1] if self.stack else self.page
+
+    def push(self, tag: str, names: str) -> None:
+        self.stack.append((tag, self.place if tag in INLINE else Place(self.place, tag, names)))
+        self.count[tag] += 1
+
+    def close(self, upto: int) -> None:
+        for tag, _ in self.stack[upto:]:
+            self.count[tag] -= 1
+        del self.stack[upto:]
+
+    def end(self, tags: set[str], bounds: frozenset[str] = frozenset()) -> None:
+        """Close the innermost element of these tags and what is open in it, unless an element of bounds lies between."""
+        if any(self.count[t] for t in tags):
+            for k in range(len(self.stack) - 1, -1, -1):
+                if self.stack[k][0] in tags:
+                    return self.close(k)
+                if self.stack[k][0] in bounds:
+                    return None
+        return None
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    opened = _Open()
     text: list[str] = []
     linked = 0
 
@@ -80,14 +140,14 @@ def blocks(page: str | None) -> list[Block]:
             got = "".join(text)
             got = " ".join((entities.unescape(got) if "&" in got else got).split())
             if got:
-                out.append(Block(tuple(x for x in stack if x[0] not in INLINE), got, linked))
+                out.append(Block(opened.place, got, linked))
             text.clear()
         linked = 0
 
     def add(piece: str) -> None:
         nonlocal linked
         text.append(piece)
-        if any(x[0] == "a" for x in stack):
+        if opened.count["a"]:
             linked += len(piece.strip())
 
     if not page:
@@ -126,38 +186,27 @@ def blocks(page: str | None) -> list[Block]:
         if tag in VOID:
             continue
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            opened.end({tag})
             continue
         if tag not in INLINE:
-            closing = CLOSES.get(tag, {"p"})
-            for k in range(len(stack) - 1, -1, -1):
-                name = stack[k][0]
-                if name in closing:
-                    del stack[k:]
-                    break
-                if name in BOUNDS:
-                    break
+            opened.end(CLOSES.get(tag, {"p"}), BOUNDS)
         attrs = m["attrs"]
         names = " ".join(x.strip("\"'") for x in _NAMES.findall(attrs)).lower() if "=" in attrs else ""
         if not attrs.endswith("/"):
-            stack.append((tag, names))
+            opened.push(tag, names)
     if at < len(page):
         add(page[at:])
     flush()
     return out
 
 
-def path_vector(path: tuple[tuple[str, str], ...]) -> np.ndarray:
-    """Hashed tags and parts of names, with the innermost marked apart."""
+def path_vector(key: tuple[int, str]) -> np.ndarray:
+    """Mask of a path as zeros and ones, with the innermost tag marked apart."""
+    mask, tag = key
     out = np.zeros(PATH_DIMS, np.float32)
-    for depth, (tag, names) in enumerate(reversed(path)):
-        for word in [f"<{tag}", *_PARTS.findall(names)]:
-            out[zlib.crc32(word.encode()) % (PATH_DIMS - 32)] = 1
-        if depth == 0:
-            out[PATH_DIMS - 32 + zlib.crc32(tag.encode()) % 32] = 1
+    out[: PATH_DIMS - INNER] = np.unpackbits(np.frombuffer(mask.to_bytes((PATH_DIMS - INNER) // 8, "little"), np.uint8), bitorder="little")
+    if tag:
+        out[PATH_DIMS - INNER + zlib.crc32(tag.encode()) % INNER] = 1
     return out
 
 
@@ -166,9 +215,11 @@ class Features:
 
     def __init__(self):
         self.path = Bounded(path_vector, 20_000)
-        self.word = Bounded(lambda w: zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % (2 * WORD_DIMS), 300_000)
+        self.word = Bounded(lambda w: zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % (2 * WORD_DIMS), 300_000, longest=64)
 
-    def __call__(self, seq: list[Block]) -> np.ndarray:
+    def __call__(self, seq: list[Block], start: int = 0, total: int | None = None) -> np.ndarray:
+        """Vectors of blocks that begin at place start of a page of total blocks."""
+        total = len(seq) if total is None else total
         out = np.zeros((len(seq), WIDTH), np.float32)
         words = [b.text.split() for b in seq]
         n = np.array([len(w) for w in words])
@@ -176,9 +227,9 @@ class Features:
         both = np.bincount(np.repeat(np.arange(len(seq)), n) * 2 * WORD_DIMS + bucket, minlength=len(seq) * 2 * WORD_DIMS).reshape(len(seq), 2, WORD_DIMS)
         out[:, PATH_DIMS : PATH_DIMS + WORD_DIMS] = (both[:, 0] - both[:, 1]) / n[:, None]
         for k, b in enumerate(seq):
-            out[k, :PATH_DIMS] = self.path[b.path]
+            out[k, :PATH_DIMS] = self.path[b.place.mask, b.place.tag]
             out[k, -MEASURES:] = (
-                min(8, np.log1p(n[k])) / 4, min(1, b.link_chars / len(b.text)), b.text[-1] in ".!?…", "©" in b.text, k / len(seq), len(b.path) / 10, b.text[0].isupper(), 1,
+                min(8, np.log1p(n[k])) / 4, min(1, b.link_chars / len(b.text)), b.text[-1] in ".!?…", "©" in b.text, (start + k) / total, min(b.place.depth, 50) / 10, b.text[0].isupper(), 1,
             )
         return out
 
@@ -199,10 +250,9 @@ class Labeller:
         self.p |= {"o": rng.normal(0, 0.3, 2 * HIDDEN), "c": np.zeros(1)}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def _direction(self, x: np.ndarray, live: np.ndarray, d: str):
-        """Hidden states over time (T, B, H) and what the gradient needs; states stand still where live is 0."""
-        steps, n, _ = x.shape
-        pre = x @ self.p[f"W{d}"] + self.p[f"b{d}"]
+    def _direction(self, pre: np.ndarray, live: np.ndarray, d: str, keep: bool):
+        """Hidden states over time (T, B, H) and, if asked, what the gradient needs; states stand still where live is 0."""
+        steps, n, _ = pre.shape
         h, c, u = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32), self.p[f"U{d}"]
         hs, kept = np.empty((steps, n, HIDDEN), np.float32), []
         for t in range(steps) if d == "0" else range(steps - 1, -1, -1):
@@ -213,18 +263,23 @@ class Labeller:
             on = live[t][:, None]
             c_new = f * c + i * z
             tc = np.tanh(c_new)
-            kept.append((t, h, c, i, f, o, z, tc, on))
+            if keep:
+                kept.append((t, h, c, i, f, o, z, tc, on))
             h, c = np.where(on, o * tc, h), np.where(on, c_new, c)
             hs[t] = h
         return hs, kept
 
-    def forward(self, x: np.ndarray, live: np.ndarray):
-        (a, ka), (b, kb) = self._direction(x, live, "0"), self._direction(x, live, "1")
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        """What both recurrences take in of each vector: forward gates, then backward gates."""
+        return np.concatenate([x @ self.p[f"W{d}"] + self.p[f"b{d}"] for d in "01"], axis=-1)
+
+    def forward(self, pre: np.ndarray, live: np.ndarray, keep: bool = False):
+        (a, ka), (b, kb) = (self._direction(pre[:, :, 4 * HIDDEN * k : 4 * HIDDEN * (k + 1)], live, d, keep) for k, d in enumerate("01"))
         h = np.concatenate([a, b], axis=2)
         return _sigmoid(h @ self.p["o"] + self.p["c"]), h, (ka, kb)
 
     def gradient(self, x: np.ndarray, live: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        out, h, kept = self.forward(x, live)
+        out, h, kept = self.forward(self.inputs(x), live, keep=True)
         g = (out - y) * live / live.sum()
         grads = {"o": np.tensordot(g, h, axes=([0, 1], [0, 1])), "c": g.sum(keepdims=True).reshape(1)}
         for k, d in enumerate("01"):
@@ -260,7 +315,7 @@ class Labeller:
         return self
 
     def label(self, seqs: list[np.ndarray]) -> list[np.ndarray]:
-        """Probabilities; sequences of like length go together."""
+        """Probabilities of sequences of inputs(); those of like length go together."""
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(seqs)
         order = sorted((i for i in range(len(seqs)) if len(seqs[i])), key=lambda i: len(seqs[i]))
         while order:
@@ -269,7 +324,7 @@ class Labeller:
             while len(now) > 1 and len(seqs[now[-1]]) > 2 * len(seqs[now[0]]) + 8:
                 order.insert(0, now.pop())
             x, live = pad([seqs[i] for i in now])
-            got = self.forward(x, live)[0]
+            got = self.forward(x, live)[0]  # no tape: states of two steps and the hidden rows
             for k, i in enumerate(now):
                 out[i] = got[: len(seqs[i]), k]
         return out
@@ -313,11 +368,12 @@ SEMANTIC_OTHER = frozenset("nav footer header aside form".split())
 
 def silver(seq: list[Block]) -> list[bool] | None:
     """Labels of a real page that semantic tags give away; None where it has no article."""
-    marks = [[t for t, _ in b.path] for b in seq]
+    paths = [b.place.path() for b in seq]
+    marks = [[t for t, _ in p] for p in paths]
     names = {w for ws in OTHER_NAMES.values() for w in ws}
     if not any("article" in m or "main" in m for m in marks):
         return None
-    return [("article" in m or "main" in m) and not SEMANTIC_OTHER & set(m) and not any(w in names for _, n in b.path for w in n.split()) for m, b in zip(marks, seq, strict=True)]
+    return [("article" in m or "main" in m) and not SEMANTIC_OTHER & set(m) and not any(w in names for _, n in p for w in n.split()) for m, p in zip(marks, paths, strict=True)]
 
 
 def make_page(rng: random.Random, mains: list[str], others: list[str]) -> tuple[str, list[bool]]:
@@ -417,6 +473,12 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     return Labeller().fit(seqs, labels)
 
 
+def inputs_of(seq: list[Block], features: Features, labeller: Labeller) -> np.ndarray:
+    """The labeller's inputs for a page, made CHUNK blocks at a time."""
+    parts = [labeller.inputs(features(seq[k : k + CHUNK], k, len(seq))) for k in range(0, len(seq), CHUNK)]
+    return np.concatenate(parts) if parts else np.zeros((0, 8 * HIDDEN), np.float32)
+
+
 def extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
 
@@ -424,7 +486,7 @@ def extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
         features = Features()
         for ids, urls, pages in rows_in(batches, "page_id", "url", "html", size=100):
             seqs = [blocks(p) for p in pages]
-            chosen = labeller.label([features(s) if s else np.zeros((0, WIDTH), np.float32) for s in seqs])
+            chosen = labeller.label([inputs_of(s, features, labeller) for s in seqs])
             texts = ["\n".join(b.text for b, y in zip(s, ys, strict=True) if y >= 0.5) for s, ys in zip(seqs, chosen, strict=True)]
             yield pa.RecordBatch.from_pydict({"page_id": pa.array(ids, pa.int64()), "url": pa.array(urls, pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 

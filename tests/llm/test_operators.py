@@ -208,20 +208,80 @@ def test_extraction_matches_the_articles(spark, sf):
     wrong = 0
     for r in pages.collect():
         seq = html_extraction.blocks(r.html)
-        want = "\n".join(b.text for b in seq if any(t == "article" for t, _ in b.path))
+        want = "\n".join(b.text for b in seq if any(t == "article" for t, _ in b.place.path()))
         wrong += got[r.page_id].text != want or got[r.page_id].n_chars != len(want)
     assert wrong == 0
     assert got[900].text == got[901].text == got[903].text == "" and got[900].n_chars == 0
     assert html_extraction.extract(pages.limit(0), labeller).count() == 0
 
 
+def test_deep_and_long_pages_take_time_in_proportion():
+    """Open elements without end, stray ends, headings in headings, and very many blocks."""
+    import time
+
+    began = time.perf_counter()
+    n = 50_000
+    for page, count in (("<div>x" * n, n), ("<b>" * n + "<p>y" * 1000, 1000), ("<h2>a" * n + "</table>" * n, n), ("<div class=c>" * n + "z" + "</x>" * n + "</div>" * n, 1), ("<li>q" * n, n)):
+        assert len(html_extraction.blocks(page)) == count
+    deep = html_extraction.blocks("<div>x" * n)[-1]
+    assert deep.place.depth == n and deep.place.mask.bit_length() <= html_extraction.PATH_DIMS
+    labeller, features = html_extraction.Labeller(), html_extraction.Features()
+    seq = html_extraction.blocks("<p>some words here. " * 3 * html_extraction.CHUNK)
+    got = labeller.label([html_extraction.inputs_of(seq, features, labeller)])[0]
+    assert len(got) == 3 * html_extraction.CHUNK
+    assert time.perf_counter() - began < 60
+    whole = labeller.label([labeller.inputs(features(seq))])[0]
+    assert np.allclose(got, whole, atol=1e-5)
+
+
+def test_gradient_of_the_labeller_and_batches():
+    """Against finite differences; and a page's labels do not hang on the pages it is labelled with."""
+    rng = np.random.default_rng(2)
+    labeller = html_extraction.Labeller(seed=4)
+    labeller.p = {k: v.astype(np.float64) for k, v in labeller.p.items()}
+    seqs = [rng.normal(size=(k, html_extraction.WIDTH)) for k in (1, 4, 7)]
+    labels = [rng.integers(0, 2, (len(s), 1)).astype(float) for s in seqs]
+    x, live = html_extraction.pad(seqs)
+    x, y = x.astype(np.float64), html_extraction.pad(labels)[0][:, :, 0].astype(np.float64)
+
+    def loss():
+        out = np.clip(labeller.forward(labeller.inputs(x), live)[0].astype(np.float64), 1e-12, 1 - 1e-12)
+        return -((y * np.log(out) + (1 - y) * np.log(1 - out)) * live).sum() / live.sum()
+
+    grads = labeller.gradient(x, live, y)
+    for name, g in grads.items():
+        for _ in range(4):
+            at = tuple(int(rng.integers(0, k)) for k in labeller.p[name].shape)
+            old, e = labeller.p[name][at], 1e-2
+            labeller.p[name][at] = old + e
+            up = loss()
+            labeller.p[name][at] = old - e
+            down = loss()
+            labeller.p[name][at] = old
+            assert abs((up - down) / (2 * e) - g[at]) < 2e-4, name
+    single = [labeller.label([labeller.inputs(s)])[0] for s in seqs]
+    together = labeller.label([labeller.inputs(s) for s in seqs])
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(single, together, strict=True))
+
+
+def test_extraction_of_odd_tables(spark, sf):
+    from pyspark.sql import functions as F
+
+    labeller = html_extraction.Labeller()
+    rows = [(1, "u", "<p>one</p>"), (1, "u", "<p>one</p>"), (None, None, None), (2, None, "<div>" * 20_000 + "deep"), (3, "v", "<article>" + "<p>A sentence of some words stands here.</p>" * 20_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *[F.lit(1).alias(c) for c in ("text", "n_chars", "blocks", "path")])
+    got = html_extraction.extract(pages, labeller)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and got.count() == 5
+    assert all(r.n_chars == len(r.text) for r in got.collect())
+
+
 def test_labeller_generalises_to_new_layouts(spark, sf):
     labeller, features, rng = html_extraction.train(spark.read.parquet(f"{sf}/pages.parquet")), html_extraction.Features(), random.Random(77)
     wrong = total = 0
     for _ in range(120):
         page, marks = html_extraction.make_page(rng, html_extraction.PLAIN, html_extraction.PLAIN)
         seq = html_extraction.blocks(page)
-        got = labeller.label([features(seq)])[0] >= 0.5
+        got = labeller.label([html_extraction.inputs_of(seq, features, labeller)])[0] >= 0.5
         wrong, total = wrong + int((got != np.array(marks)).sum()), total + len(marks)
     assert wrong / total < 0.05
 
