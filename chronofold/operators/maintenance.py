@@ -1,7 +1,7 @@
 """Writes and upkeep as transformations from one snapshot to the next: close, forget, erase with proof, purge, merge, promote.
 
-Parquet has no row-level updates, so each returns the new snapshot (or the rows concerned); save() swaps a version directory in
-one step. Old versions must be removed for an erasure to be complete, and expunge() does so.
+Parquet has no row-level updates, so each returns the new snapshot (or the rows concerned); save() writes a version and
+then its commit mark, an empty file made only if there is none. Old versions must be removed for an erasure to be complete, and expunge() does so.
 """
 
 from __future__ import annotations
@@ -76,23 +76,36 @@ def survivors(claims: DataFrame) -> DataFrame:
     return claims.withColumn("rank", F.row_number().over(w))
 
 
+def _files(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path, path(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Committed versions in order; none where there is no store."""
+    path, fs = _files(spark, root)
+    marks = path(f"{root}/commits")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(marks)) if fs.exists(marks) else []
+
+
 def save(df: DataFrame, root: str, version: int) -> None:
-    """Write a version, then point to it: readers see the old one or the new one."""
+    """Write a version, then commit it: readers see the one before until the mark is there. Nothing is overwritten; a second writer of the same version fails."""
     df.write.mode("errorifexists").parquet(f"{root}/v={version:010d}")
-    df.sparkSession.createDataFrame([(version,)], "version long").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    path, fs = _files(df.sparkSession, root)
+    fs.create(path(f"{root}/commits/{version:010d}"), False).close()
 
 
 def load(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.schema("version long").json(f"{root}/current").first().version
-    return spark.read.parquet(f"{root}/v={version:010d}")
+    return spark.read.parquet(f"{root}/v={versions(spark, root)[-1]:010d}")
 
 
 def expunge(spark: SparkSession, root: str) -> None:
     """Delete every version but the current one."""
-    version = spark.read.schema("version long").json(f"{root}/current").first().version
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    for f in fs.listStatus(hadoop(root)):
+    *old, version = versions(spark, root)
+    path, fs = _files(spark, root)
+    for v in old:
+        fs.delete(path(f"{root}/commits/{v:010d}"), False)
+    for f in fs.listStatus(path(root)):
         name = f.getPath().getName()
         if name.startswith("v=") and name != f"v={version:010d}":
             fs.delete(f.getPath(), True)

@@ -1,6 +1,6 @@
 """The store as one object: assertions in versions of Parquet, and the verbs over them.
 
-Each write makes a new version from the old one by DataFrame operations and swaps the pointer; reads are plain queries over the current
+Each write makes a new version from the old one by DataFrame operations and commits it; reads are plain queries over the current
 version. Batches of assertions go in at once: a version costs one pass, whether it adds one row or a billion.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.functions import clocks as C
@@ -37,18 +37,16 @@ class Memory:
         return datetime.now(UTC).replace(tzinfo=None)
 
     def _version(self) -> int:
-        try:
-            return self.spark.read.schema("version long").json(f"{self.root}/current").first().version
-        except Exception as e:  # no store yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return 0
+        return max(M.versions(self.spark, self.root), default=0)
+
+    def _inside(self) -> Column:
+        """Rows within scope; never null."""
+        mine = F.col("tenant") == self.tenant
+        return F.coalesce(mine if self.user is None else mine & (F.col("usr") == self.user), F.lit(False))
 
     def assertions(self) -> DataFrame:
         """Everything ever said, within scope."""
-        df = M.load(self.spark, self.root) if self._version() else self.spark.createDataFrame([], SCHEMA)
-        df = df.filter(F.col("tenant") == self.tenant)
-        return df if self.user is None else df.filter(F.col("usr") == self.user)
+        return self._all().filter(self._inside())
 
     def _save(self, df: DataFrame) -> None:
         M.save(df, self.root, self._version() + 1)
@@ -57,7 +55,7 @@ class Memory:
         return M.load(self.spark, self.root) if self._version() else self.spark.createDataFrame([], SCHEMA)
 
     def remember(self, rows: DataFrame | list[dict]) -> int:
-        """Add assertions: subject, predicate, object and any of the other columns. Nobody can say when they were told but the store."""
+        """Add assertions: subject, predicate, object and any of the other columns. Nobody can say when they were told but the store, nor speak for another user than the one it is bound to."""
         now = self._now()
         given = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame([{"polarity": 1, "confidence": 1.0, **r} for r in rows])
         kinds = dict(x.strip().split(" ", 1) for x in SCHEMA.split(", "))
@@ -66,10 +64,10 @@ class Memory:
         for name, kind in kinds.items():
             out = out.withColumn(name, (F.col(name) if name in given.columns else F.lit(None)).cast(kind))
         out = out.withColumns({
-            "tenant": F.lit(self.tenant), "usr": F.coalesce("usr", F.lit(self.user)), "arrived_at": told, "polarity": F.coalesce("polarity", F.lit(1)), "confidence": F.coalesce("confidence", F.lit(1.0)),
+            "tenant": F.lit(self.tenant), "usr": F.lit(self.user) if self.user is not None else F.col("usr"), "arrived_at": told, "polarity": F.coalesce("polarity", F.lit(1)), "confidence": F.coalesce("confidence", F.lit(1.0)),
             "valid_from": F.coalesce("valid_from", told), "sources": F.coalesce("sources", F.expr("cast(array() as array<string>)")),
         })
-        stamp = F.sha2(F.concat_ws("\x1f", "usr", "subject", "predicate", "object", F.col("polarity").cast("string"), F.col("valid_from").cast("string"), F.col("arrived_at").cast("string")), 256)
+        stamp = F.sha2(F.concat_ws("\x1f", "tenant", "usr", "subject", "predicate", "object", F.col("polarity").cast("string"), F.col("valid_from").cast("string"), F.col("arrived_at").cast("string")), 256)
         out = self.vocabulary.canonical(out).withColumn("id", F.coalesce("id", F.concat(F.lit("cl_"), F.substring(stamp, 1, 20)))).select(*kinds)
         fresh = out.filter("subject <> '' AND predicate <> ''").dropDuplicates(["id"]).join(self._all().select("id"), "id", "left_anti").select(*kinds)
         n = fresh.count()
@@ -109,15 +107,16 @@ class Memory:
         return self.remember([{"subject": subject, "predicate": predicate, "object": "", "polarity": -1}])
 
     def erase(self, ids: list[str]) -> int:
-        """Remove assertions for good, old versions included; returns the rows that still mention them (0)."""
+        """Remove assertions within scope for good, old versions included; returns the rows of the scope that still mention them (0)."""
         gone = self.spark.createDataFrame([(i,) for i in ids], "id string")
-        self._save(self._all().join(gone, "id", "left_anti"))
+        named = gone.select(F.col("id").alias("_gone"))
+        self._save(self._all().join(named, (F.col("id") == F.col("_gone")) & self._inside(), "left_anti"))
         M.expunge(self.spark, self.root)
-        return M.proof({"claims": (self._all(), "id")}, gone).first().residue
+        return M.proof({"claims": (self.assertions(), "id")}, gone).first().residue
 
     def erase_expired(self) -> None:
         now = self._now()
-        self._save(self._all().filter(C.unexpired_expr(F.lit(now))))
+        self._save(self._all().filter(~self._inside() | C.unexpired_expr(F.lit(now))))
         M.expunge(self.spark, self.root)
 
     def stats(self) -> DataFrame:

@@ -11,18 +11,27 @@ from chronofold.functions.text import gate_reason
 from chronofold.operators import retrieval as R
 from chronofold.operators.merging import merge_near
 from chronofold.plans.registry import query
-from chronofold.sources.projections import CLAIMS_EV, EPISODES, claims_ev, episodes, table
+from chronofold.plans.upkeep import GATE_SQL
+from chronofold.sources.projections import CLAIMS_EV, claims_ev, episodes, table
 from chronofold.sources.vocabulary import Vocabulary
 
 NOW, AT = "2024-02-20 00:00:00", "2024-01-15 00:00:00"
 _LIVE = f"recorded_at <= TIMESTAMP '{NOW}' AND (invalidated_at IS NULL OR invalidated_at > TIMESTAMP '{NOW}') AND valid_from <= TIMESTAMP '{NOW}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{NOW}')"
 
 
-@query(None)
+@query("""WITH o AS (SELECT 'or_' || o_orderkey AS id, n_name AS object, o_orderkey % 5 + 2 AS n, o_orderstatus AS s, o_orderdate::TIMESTAMP AS ts FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)
+  SELECT id, 'lives_in' AS predicate, object, CASE WHEN s = 'P' THEN -1 ELSE 1 END AS polarity, CASE s WHEN 'F' THEN 'last month' WHEN 'O' THEN n || ' days ago' END AS said_when,
+    CASE s WHEN 'F' THEN date_trunc('month', ts) - INTERVAL 1 MONTH WHEN 'O' THEN date_trunc('day', ts) - to_days(n::INT) ELSE ts END::TIMESTAMP AS valid_from,
+    CASE s WHEN 'F' THEN 'month' WHEN 'O' THEN 'day' ELSE 'instant' END AS precision FROM o""", polarity="INT")
 def fast_facts(spark, sf_dir):
-    """Facts stated in conversations, after a line that states some for certain."""
-    turns = episodes(spark, sf_dir).select("id", F.concat(F.lit("I live in Lisbon. I'm vegan. "), F.coalesce("content", F.lit(""))).alias("content"), "ts")
-    return L.extract_facts(turns)
+    """Facts stated in turns: those of the conversations (which state none of these plainly) and one for each order, in which its customer says
+    when they moved to their nation, or that they live there no more, after a question about another place that states nothing."""
+    home = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    o = table(spark, sf_dir, "orders").join(home, F.col("o_custkey") == F.col("c_custkey"))
+    ago = F.concat((F.col("o_orderkey") % 5 + 2).cast("string"), F.lit(" days ago."))
+    said = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("I no longer live in "), "n_name", F.lit("."))).otherwise(F.concat(F.lit("I moved to "), "n_name", F.lit(" "), F.when(F.col("o_orderstatus") == "F", "last month.").otherwise(ago)))
+    stated = o.select(F.concat(F.lit("or_"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("Do I live in Lisbon? "), said).alias("content"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"))
+    return L.extract_facts(episodes(spark, sf_dir).select("id", "content", "ts").unionByName(stated))
 
 
 _ARR = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
@@ -80,7 +89,7 @@ def profile_sections(spark, sf_dir):
     return live.withColumn("pos", F.row_number().over(w)).filter("pos <= 2").select("subject", "section", "id")
 
 
-@query(f"WITH {EPISODES} SELECT id FROM episodes WHERE role = 'user' AND conv_id % 3 <> 0 AND length(content) > 200")
+@query(f"SELECT 'ep_' || conv_id || '_' || turn AS id FROM ({GATE_SQL}) WHERE reason = 'has_declarative' AND conv_id % 3 <> 0")
 def pending_extraction(spark, sf_dir):
     """Turns that pass the gate and that no claim cites (here: those of every third conversation are cited)."""
     e = episodes(spark, sf_dir)

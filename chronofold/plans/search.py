@@ -53,7 +53,7 @@ def bm25_filtered(spark, sf_dir):
     return R.top(all_hits.join(english, "id", "left_semi"), "bm25", 10).select("qid", "id", "bm25", "rank")
 
 
-@query(f"WITH tok AS (SELECT doc_id AS id, unnest({_TOK.format('text')}) AS term FROM documents) SELECT term, count(*) AS cf, count(DISTINCT id) AS df FROM tok GROUP BY term HAVING count(DISTINCT id) >= 5")
+@query(f"WITH tok AS (SELECT doc_id AS id, unnest({_TOK.format('text')}) AS term FROM documents) SELECT term, count(*) AS cf, count(DISTINCT id) AS df FROM tok GROUP BY term")
 def term_stats(spark, sf_dir):
     rows = R.postings(_docs(spark, sf_dir), "id", "text", ascii_tokens)
     return rows.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
@@ -197,8 +197,9 @@ def salience_decay(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), S.decayed_salience(1 + F.col("o_totalprice") / 1_000_000, age, half).alias("salience"))
 
 
-@query("""WITH t AS (SELECT doc_id, n_chars, quality FROM documents JOIN labels USING (doc_id)), c AS (SELECT DISTINCT n_chars AS x FROM t WHERE n_chars % 50 = 0 OR n_chars < 400),
-  s AS (SELECT x, avg(((n_chars >= x) = (quality = 1))::INT::DOUBLE) AS acc FROM c, t GROUP BY x) SELECT arg_min(x, (-round(acc, 9), x)) AS threshold, round(max(acc), 6) AS accuracy FROM s""")
+@query("""WITH g AS (SELECT n_chars AS x, count(*) FILTER (quality = 1) AS pos, count(*) FILTER (quality <> 1) AS neg FROM documents JOIN labels USING (doc_id) GROUP BY n_chars),
+  s AS (SELECT x, (coalesce(sum(neg) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(pos) OVER (ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE / (SELECT sum(pos + neg) FROM g) AS acc FROM g)
+  SELECT arg_min(x, (-round(acc, 9), x)) AS threshold, round(max(acc), 6) AS accuracy FROM s""")
 def calibrate_floor(spark, sf_dir):
     """The floor that separates hits from misses best; the lowest of equals.
 
@@ -209,12 +210,19 @@ def calibrate_floor(spark, sf_dir):
     return R_floor(by_x)
 
 
-def R_floor(by_x):
-    up = W.orderBy("x").rowsBetween(W.unboundedPreceding, -1)
-    down = W.orderBy(F.desc("x")).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy()
-    right = F.coalesce(F.sum("neg").over(up), F.lit(0)) + F.sum("pos").over(down)
-    rows = by_x.withColumn("acc", right / (F.sum("pos").over(every) + F.sum("neg").over(every)))
+def R_floor(by_x, ranges=256):
+    """threshold and accuracy over every x of by_x (x, pos, neg). Running sums are taken in two levels: within ranges of x, side by side, and over
+    the sums of the ranges, of which there are so many at most."""
+    cuts = by_x.agg(F.percentile_approx("x", [k / ranges for k in range(1, ranges)], 10_000).alias("cuts")).first().cuts or []
+    part = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c <= F.col("x"))) if cuts else F.lit(0)
+    rows = by_x.withColumn("part", part)
+    sums = rows.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    before, after = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1), W.orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("under"), F.coalesce(F.sum("p").over(after), F.lit(0)).alias("over"), F.sum(F.col("p") + F.col("n")).over(W.partitionBy()).alias("every"))
+    up = W.partitionBy("part").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
+    down = W.partitionBy("part").orderBy(F.desc("x")).rowsBetween(W.unboundedPreceding, 0)
+    right = F.col("under") + F.coalesce(F.sum("neg").over(up), F.lit(0)) + F.col("over") + F.sum("pos").over(down)
+    rows = rows.join(F.broadcast(sums), "part").withColumn("acc", right / F.col("every"))
     return rows.agg(F.min_by("x", F.struct(-F.round("acc", 9), F.col("x"))).alias("threshold"), F.round(F.max("acc"), 6).alias("accuracy"))
 
 

@@ -43,11 +43,14 @@ def chunk_diff(spark, sf_dir):
 _FILL = "[" + ", ".join(f"'{w}'" for w in TX.FILLERS) + "]"
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, lower(trim(coalesce(role, 'user'))) AS role, trim(coalesce(text, '')) AS x FROM conversations),
+GATE_SQL = f"""WITH t AS (SELECT conv_id, turn, lower(trim(coalesce(role, 'user'))) AS role, trim(coalesce(text, '')) AS x FROM conversations),
   w AS (SELECT *, list_filter(regexp_split_to_array(lower(regexp_replace(x, '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g')), '\\s+'), lambda a: a <> '') AS ws,
     list_filter(list_transform(regexp_extract_all(x, '[^.!?]+[.!?]*'), lambda s: trim(s)), lambda s: s <> '') AS ss FROM t)
   SELECT conv_id, turn, CASE WHEN x = '' THEN 'no_content' WHEN role <> 'user' THEN role || '_turn' WHEN len(ws) BETWEEN 1 AND 6 AND len(list_filter(ws, lambda a: NOT list_contains({_FILL}, a))) = 0 THEN 'ack_only'
-    WHEN len(ws) < 2 THEN 'too_short' WHEN len(ss) > 0 AND len(list_filter(ss, lambda s: NOT ends_with(s, '?'))) = 0 THEN 'question' ELSE 'has_declarative' END AS reason FROM w""")
+    WHEN len(ws) < 2 THEN 'too_short' WHEN len(ss) > 0 AND len(list_filter(ss, lambda s: NOT ends_with(s, '?'))) = 0 THEN 'question' ELSE 'has_declarative' END AS reason FROM w"""
+
+
+@query(GATE_SQL)
 def salience_gate(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", TX.gate_reason(F.col("text"), F.col("role")).alias("reason"))
@@ -179,7 +182,11 @@ def stream_latest_state(spark, sf_dir):
     """The events table as a stream, to its end."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='chronofold-stream-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='chronofold-stream-')}"
     name = f"latest_{uuid.uuid4().hex}"
     return latest_state.drain(latest_state.latest(stream), name, f"{base.rstrip('/')}/{name}")
 

@@ -15,7 +15,7 @@ from chronofold.sources.vocabulary import Predicate, Vocabulary, read_pack
 ANCHOR = dt.datetime(2026, 9, 3, 15, 30)
 
 
-@pytest.mark.parametrize(("said", "want"), [("yesterday", (dt.datetime(2026, 9, 2), "day")), ("3 days ago", (dt.datetime(2026, 8, 31), "day")), ("3 weeks ago", (dt.datetime(2026, 8, 13), "week")), ("last month", (dt.datetime(2026, 8, 1), "month")), ("in 2019", (dt.datetime(2019, 1, 1), "year")), ("two months ago", (dt.datetime(2026, 7, 3), "month")), ("now", None), ("today", None), ("currently", None), ("blue moon", None)])
+@pytest.mark.parametrize(("said", "want"), [("yesterday", (dt.datetime(2026, 9, 2), "day")), ("3 days ago", (dt.datetime(2026, 8, 31), "day")), ("3 weeks ago", (dt.datetime(2026, 8, 13), "day")), ("last month", (dt.datetime(2026, 8, 1), "month")), ("in 2019", (dt.datetime(2019, 1, 1), "year")), ("two months ago", (dt.datetime(2026, 7, 3), "day")), ("0 days ago", None), ("20 dozen ago", None), ("99999 years ago", None), ("last winter", (dt.datetime(2025, 12, 1), "season")), ("next autumn", (dt.datetime(2027, 9, 1), "season")), ("this summer", (dt.datetime(2026, 6, 1), "season")), ("next week", (dt.datetime(2026, 9, 7), "week")), ("last year", (dt.datetime(2025, 1, 1), "year")), ("now", None), ("today", None), ("currently", None), ("blue moon", None)])
 def test_relative_dates(said, want):
     assert L.resolve_date(said, ANCHOR) == want
 
@@ -76,6 +76,10 @@ def test_memory(spark, tmp_path):
     turns = spark.createDataFrame([(1, "I work at Acme.", day(9))], "id long, content string, ts timestamp_ntz")
     assert m.add(turns) == 1 and now(m.get_all()) == ["Acme", "tea"]
     gone = m.get_all().filter("object = 'tea'").first().id
-    assert m.erase([gone]) == 0 and now(m.get_all()) == ["Acme"]
+    bob = m.scope("bob")
+    assert bob.remember([{"subject": "user", "predicate": "likes", "object": "rum", "usr": "ann"}]) == 1
+    assert now(bob.get_all()) == ["rum"] and now(m.get_all()) == ["Acme", "tea"]
+    assert bob.erase([gone]) == 0 and now(m.get_all()) == ["Acme", "tea"]
+    assert m.erase([gone]) == 0 and now(m.get_all()) == ["Acme"] and now(bob.get_all()) == ["rum"]
     with pytest.raises(ValueError):
         m.get_all(as_of="2024-01-01", valid_at="2024-01-01")

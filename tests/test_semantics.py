@@ -175,6 +175,7 @@ def test_html_prefers_the_article():
     text, title = D.html_to_text("<html><head><title> A  b </title><script>x</script></head><body><nav>menu</nav><article><h1>Head</h1><p>one &amp; two<br>three</p></article><footer>f</footer></body></html>")
     assert title == "A b" and text == "Head\n\none & two\nthree"
     assert D.html_to_text("<p>only <b>body</b>")[0] == "only body" and D.html_to_text(None) == ("", "")
+    assert D.html_to_text("<head><title>Page</title><body><p>a<canvas>no</canvas><object>no</object><svg><title>Drawing</title></svg> b</nav> c</p>") == ("a b c", "Page")
 
 
 def test_chunks_cover_the_text_and_stay_put():
