@@ -10,9 +10,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from chronofold.functions import scoring as S
 from chronofold.functions.text import ascii_tokens, query_terms, tokens
@@ -28,24 +30,82 @@ def postings(docs: DataFrame, id_col: str, text_col: str, tokenize=tokens) -> Da
     return rows.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None, tokenize=tokens, terms=query_terms) -> DataFrame:
-    """qid, id, bm25 (rounded to 6 places) and rank of each query's k best documents; k None: all.
+def bm25(docs: DataFrame, queries: DataFrame, k: int, tokenize=tokens, terms=query_terms, among: Column | None = None) -> DataFrame:
+    """qid, id, bm25 (rounded to 6 places) and rank of each query's k best documents, exactly.
 
-    docs: id, text. queries: qid, text. Statistics cover all documents. Only postings of the queries' terms are counted: the terms meet
-    the exploded documents in a join that Spark broadcasts if they are few.
+    docs: id, text. queries: qid (once each), text. among: which documents may be found; statistics cover all of them. Queries are a stated
+    set, gathered in blocks. For each block one pass counts, in the tasks, the documents that hold each of its words, and a second scores
+    every document whole where it is read: a task keeps the k best of each query and emits them once. So what is shuffled is words x tasks
+    and queries x tasks x k; no posting and no list of query-document pairs is. Documents without id count in the statistics and are not found.
     """
-    q = queries.select("qid", F.explode(F.array_distinct(terms(F.col("text"), tokenize))).alias("term"))
-    vocabulary = q.select("term").distinct()
-    rows = docs.select("id", tokenize(F.col("text")).alias("t"))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("a")).select(F.struct("n", "a").alias("s"))
-    hits = rows.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(vocabulary, "term").groupBy("id", "term").agg(F.count(F.lit(1)).alias("f"), F.max("dl").alias("dl"))
-    # reads both columns of hits, so that this branch and the next are one plan and share one shuffle of the hits
-    df = hits.groupBy("term").agg(F.count_if((F.col("f") > 0) & (F.col("dl") > 0)).alias("d"))
-    weighed = hits.join(df, "term").withColumn("s", stats.scalar())
-    idf = F.greatest(F.ln((F.col("s.n") - F.col("d") + 0.5) / (F.col("d") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("s.a")))
-    scored = weighed.select("id", "term", part.alias("part")).join(q, "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("bm25"))
-    return top(scored, "bm25", k)
+    spark = docs.sparkSession
+    kinds = to_arrow_type(queries.schema["qid"].dataType), to_arrow_type(docs.schema["id"].dataType)
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, bm25 double"
+    asked = queries.select("qid", F.array_distinct(terms(F.col("text"), tokenize)).alias("t")).orderBy("qid")
+    rows = docs.select("id", tokenize(F.col("text")).alias("t"), F.coalesce(F.lit(True) if among is None else among, F.lit(False)).alias("own"))
+    parts = []
+    for block in _blocks(asked, QUERY_BLOCK):
+        words = sorted({t for r in block for t in r.t or ()})
+        if not words:
+            continue
+        shipped = spark.sparkContext.broadcast((words, _queries_of(words, [r.t or () for r in block]), [r.qid for r in block]))
+        counts = {r.word: r.n for r in rows.select("t").mapInArrow(lambda batches, shipped=shipped: _count(batches, shipped.value[0]), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+        n, known, length = (counts.get(x, 0) for x in (ALL, KNOWN, LENGTH))
+        d = np.array([counts.get(w, 0) for w in range(len(words))], np.float64)
+        idf = spark.sparkContext.broadcast((np.maximum(np.log((n - d + 0.5) / (d + 0.5)), LEAST_IDF), length / known if known and length else 1.0))
+        parts.append(rows.filter("own AND id IS NOT NULL").select("id", "t").mapInArrow(lambda batches, shipped=shipped, idf=idf: _score(batches, *shipped.value, *idf.value, k, kinds), schema))
+    return top(reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema), "bm25", k)
+
+
+#: Marks among the counts of words: all documents, those with a text, and their length in words.
+ALL, KNOWN, LENGTH = -1, -2, -3
+
+
+def _queries_of(words: list[str], asked: list) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the queries that hold each word, one word after the other, and where those of each word start."""
+    code = {w: k for k, w in enumerate(words)}
+    pairs = sorted((code[t], nth) for nth, ts in enumerate(asked) for t in ts)
+    return np.array([nth for _, nth in pairs], np.int64), np.searchsorted([w for w, _ in pairs], np.arange(len(words) + 1))
+
+
+def _found(lists: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of all rows; row, word and number of times of each asked word in them."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    code = pc.fill_null(pc.index_in(lists.flatten(), value_set=words), -1).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    pairs, times = np.unique(row[code >= 0] * len(words) + code[code >= 0], return_counts=True)
+    return lengths, pairs // len(words), pairs % len(words), times
+
+
+def _count(batches, words):
+    """Documents with each word, over a task."""
+    words = pa.array(words, pa.string())
+    held, n, known, length = np.zeros(len(words), np.int64), 0, 0, 0
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            lists = batch.column(0).slice(a, ROWS)
+            lengths, _, word, _ = _found(lists, words)
+            held += np.bincount(word, minlength=len(words))
+            n, known, length = n + len(lists), known + len(lists) - lists.null_count, length + int(lengths.sum())
+    some = np.flatnonzero(held)
+    yield pa.RecordBatch.from_pydict({"word": pa.array([*some, ALL, KNOWN, LENGTH], pa.int32()), "n": pa.array([*held[some], n, known, length], pa.int64())})
+
+
+def _score(batches, words, queries_of, qids, idf, mean, k, kinds):
+    """The k best documents of each query, over a task."""
+    words, (query, start) = pa.array(words, pa.string()), queries_of
+    best = _Best(len(qids), k)
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            ids = np.array(batch.column(0).slice(a, ROWS).to_pylist())
+            lengths, row, word, times = _found(batch.column(1).slice(a, ROWS), words)
+            part = idf[word] * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[row] / mean))
+            fan = start[word + 1] - start[word]
+            nth = np.repeat(start[word] - np.cumsum(fan) + fan, fan) + np.arange(fan.sum())
+            sums = np.bincount(query[nth] * len(ids) + np.repeat(row, fan), np.repeat(part, fan), len(qids) * len(ids)).reshape(len(qids), len(ids))
+            best.take(np.where(sums > 0, np.round(sums, 6), -np.inf), ids)
+    at, ids, scores = best.all()
+    yield pa.RecordBatch.from_pydict({"qid": pa.array([qids[x] for x in at], kinds[0]), "id": pa.array(ids, kinds[1]), "bm25": pa.array(scores, pa.float64())})
 
 
 def top(scored: DataFrame, score: str, k: int | None) -> DataFrame:
@@ -72,18 +132,27 @@ QUERY_BLOCK, ROWS = 4096, 512
 
 
 class _Best:
-    """The k best (score, id) of each query so far; of equal scores the lesser id."""
+    """The k best (score, id) of each query so far; of equal scores the lesser id. Scores of -inf are none."""
 
     def __init__(self, n: int, k: int):
-        self.k, self.scores, self.ids = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        self.k, self.held, self.least = k, [None] * n, np.full(n, -np.inf)
 
     def take(self, scores: np.ndarray, ids: np.ndarray) -> None:
         # only rows that reach the last place can change anything; after some batches these are few
-        for a in np.flatnonzero((scores >= self.scores[:, -1:]).any(axis=1) & np.isfinite(scores).any(axis=1)):
-            near = np.flatnonzero((scores[a] >= self.scores[a, -1]) & np.isfinite(scores[a]))
-            s, i = np.concatenate([self.scores[a], scores[a][near]]), np.concatenate([self.ids[a], ids[near]])
-            order = np.lexsort((i, -s))[: self.k]
-            self.scores[a], self.ids[a] = s[order], i[order]
+        reach = (scores >= self.least[:, None]) & np.isfinite(scores)
+        for a in np.flatnonzero(reach.any(axis=1)):
+            s, i = scores[a][reach[a]], ids[reach[a]]
+            if self.held[a] is not None:
+                s, i = np.concatenate([self.held[a][0], s]), np.concatenate([self.held[a][1], i])
+            order = np.lexsort((np.unique(i, return_inverse=True)[1], -s))[: self.k]
+            self.held[a] = s[order], i[order]
+            if len(order) == self.k:
+                self.least[a] = s[order[-1]]
+
+    def all(self) -> tuple[list[int], list, list[float]]:
+        """Number of the query, id and score of all that are held."""
+        some = [(a, h) for a, h in enumerate(self.held) if h is not None]
+        return [a for a, h in some for _ in h[0]], [i for _, h in some for i in h[1].tolist()], [x for _, h in some for x in h[0].tolist()]
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
@@ -117,8 +186,8 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, least: float | N
                             if least is not None:
                                 sims[sims < least] = -np.inf
                             best.take(sims, np.array([i for i, _ in rows]))
-                at, nth = np.nonzero(np.isfinite(best.scores))
-                yield pa.RecordBatch.from_pydict({"qid": pa.array(ids[at], pa.int64()), "id": pa.array(best.ids[at, nth], pa.int64()), "cosine": pa.array(best.scores[at, nth], pa.float64())})
+                at, found, scores = best.all()
+                yield pa.RecordBatch.from_pydict({"qid": pa.array(ids[at] if at else [], pa.int64()), "id": pa.array(found, pa.int64()), "cosine": pa.array(scores, pa.float64())})
 
             parts.append(vectors.select("id", "v").mapInArrow(run, schema))
     return top(reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema), "cosine", k)

@@ -48,9 +48,7 @@ def bm25_topk(spark, sf_dir):
 @query(f"WITH {_bm25_sql(terms=f'list_distinct(list_filter({_TOK.format("text")}, lambda t: NOT list_contains({_STOP}, t)))')} SELECT qid, bm25.id, bm25, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, bm25.id) AS rank FROM bm25 JOIN documents ON doc_id = bm25.id WHERE lang = 'en' QUALIFY rank <= 10", rank="INT")
 def bm25_filtered(spark, sf_dir):
     """Statistics cover the whole corpus; the filter comes before the cut."""
-    all_hits = R.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir), None, ascii_tokens, query_terms).drop("rank")
-    english = _docs(spark, sf_dir).filter("lang = 'en'").select("id")
-    return R.top(all_hits.join(english, "id", "left_semi"), "bm25", 10).select("qid", "id", "bm25", "rank")
+    return R.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir), 10, ascii_tokens, query_terms, F.col("lang") == "en").select("qid", "id", "bm25", "rank")
 
 
 @query(f"WITH tok AS (SELECT doc_id AS id, unnest({_TOK.format('text')}) AS term FROM documents) SELECT term, count(*) AS cf, count(DISTINCT id) AS df FROM tok GROUP BY term")

@@ -208,3 +208,31 @@ def test_close_out(spark, story):
     both = {r.id: (r.valid_to, r.invalidated_at) for r in maintenance.close_out(story, F.lit(True), "2026-10-01", "ended").collect()}
     assert both["4"] == (day(10), None) and both["3"][0] == day(7) and both["2"] == (None, day(8))
     assert maintenance.close_out(story, F.col("id") == "4", "2026-10-01").filter("invalidated_at IS NULL").count() == 1
+
+
+def test_bm25_is_the_formula(spark):
+    import math
+    import random
+    from collections import Counter
+
+    from chronofold.operators import retrieval as R
+
+    rng = random.Random(5)
+    vocabulary = [f"w{k}x" for k in range(40)]
+    texts = {f"d{k:04}": " ".join(rng.choices(vocabulary, range(40, 0, -1), k=rng.randint(0, 12))) for k in range(1300)} | {"null": None, "copy1": "w1x w2x", "copy2": "w1x w2x"}
+    asked = {1: "w1x w2x nowhere", 2: "w39x", 3: "", 4: "nowhere"}
+    docs = spark.createDataFrame([*texts.items(), (None, "w1x")], "id string, text string").repartition(5)
+    all_words = [(i, (t or "").split()) for i, t in [*texts.items(), (None, "w1x")]]
+    n, mean = len(all_words), sum(len(w) for _, w in all_words) / (len(all_words) - 1)  # the one null has no length
+    df = Counter(t for _, w in all_words for t in set(w))
+    want = set()
+    for qid, q in asked.items():
+        scores = []
+        for i, w in all_words:
+            hit = [t for t in q.split() if t in w]
+            if hit and i is not None and not i.startswith("copy1"):
+                scores.append((-round(sum(max(math.log((n - df[t] + 0.5) / (df[t] + 0.5)), 1e-6) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in hit), 6), i))
+        want |= {(qid, i, round(-x, 5), r + 1) for r, (x, i) in enumerate(sorted(scores)[:9])}
+    found = R.bm25(docs, spark.createDataFrame(list(asked.items()), "qid int, text string"), 9, among=F.col("id") != "copy1")
+    assert {(r.qid, r.id, round(r.bm25, 5), r["rank"]) for r in found.collect()} == want
+    assert R.bm25(docs, spark.createDataFrame([(9, "")], "qid int, text string"), 9).count() == R.bm25(docs.limit(0), spark.createDataFrame([(9, "w1x")], "qid int, text string"), 9).count() == 0
