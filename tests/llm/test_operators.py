@@ -79,11 +79,66 @@ def test_quality_rules_keep_returns_rows_as_they_are(edge, empty):
 
 def test_licences_by_family_and_prose_unknown(spark, edge, empty):
     texts = [(10 + i, t, "en", "s", 1) for i, t in enumerate(["Body text here.\nReleased under the MIT License.\nmore", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "The driver lost the license in the public park under a general rule."])]
-    got = {r.doc_id: (r.line, r.family, r.confirmed) for r in license_scan.scan(spark.createDataFrame(texts, DOCS)).collect()}
+    got = {r.doc_id: (r.paragraph, r.family, r.confirmed) for r in license_scan.scan(spark.createDataFrame(texts, DOCS)).collect()}
     assert got == {10: (1, "mit", True), 11: (0, "gpl", True), 12: (0, "cc", True), 13: (0, "apache", True)}
     assert license_scan.scan(edge).count() == license_scan.scan(empty).count() == 0
 
 
+# Statements in other words than the model's own, and prose.
+REWORDED = [
+    ("agpl", "The server is covered by version 3 of the GNU Affero General Public License."), ("agpl", "Sources are offered under GNU AGPL version 3 only."),
+    ("apache", "Made available to you under the Apache License 2.0, see below."), ("apache", "Contributions are accepted under the Apache License, Version 2.0 only."),
+    ("bsd", "You can use it under the BSD 3-Clause License."), ("bsd", "Redistribution and use in source and binary forms, with or without changes, are permitted provided that these conditions are met:"),
+    ("cc", "Content on this page may be shared under CC BY-SA 4.0 unless noted."), ("cc", "Photos are available under a Creative Commons Attribution 4.0 International License."),
+    ("epl", "The plug-in is offered under the terms of the Eclipse Public License v2.0."), ("gpl", "Foo is free software: you may redistribute it and modify it under the terms of the GNU General Public License as published by the Free Software Foundation."),
+    ("gpl", "This module may be copied under the GNU GPL version 2 or later."), ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted."),
+    ("lgpl", "The library is covered by the GNU Lesser General Public License version 3."), ("mit", "Everything here is yours under the MIT license."),
+    ("mit", "Permission is granted, free of charge, to any person obtaining a copy of this software and its documentation files (the Software), to deal in the Software without restriction, subject to the following conditions:"),
+    ("mpl", "Parts of this file are subject to the Mozilla Public License 2.0."), ("proprietary", "(c) 2021 Some Company. All rights reserved."), ("proprietary", "Strictly prohibited: unauthorized copying of this file, via any medium."),
+    ("unlicense", "This is free and unencumbered software given into the public domain."), ("apache", "License: Apache-2.0"),
+]
+INNOCENT = [
+    "He renewed his license at the public office.", "The committee released its general terms.", "Apache and Mozilla sponsor the meeting.", "A copy of the software was found without a source.", "The MIT team won.", "The following conditions were reported: fog and rain.",
+    "Fees are charged for any use of the hall.", "Version 3 of the plan is out.", "The public is free to walk along the river.", "All members keep their rights and duties.",
+]
+
+
+def test_reworded_notices_are_recalled_and_prose_left_alone(spark):
+    texts = [t for _, t in REWORDED] + INNOCENT
+    assert not set(texts) & {t for ts in license_scan.statements().values() for t in ts} | set(texts) & set(license_scan.PROSE + license_scan.OTHER_PROSE)
+    got = {r.doc_id: r.family for r in license_scan.scan(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS)).filter("confirmed").collect()}
+    right = sum(got.get(i) == f for i, (f, _) in enumerate(REWORDED))
+    assert right >= 0.9 * len(REWORDED), [(f, t, got.get(i)) for i, (f, t) in enumerate(REWORDED) if got.get(i) != f]
+    assert not [texts[i] for i in got if i >= len(REWORDED)]
+    assert got.get(0) == "agpl"
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_a_wrapped_notice_is_one_paragraph(spark, mark):
+    import textwrap
+
+    notices = [(f, t) for f, ts in license_scan.TEMPLATES.items() for t in ts if len(t) > 100]
+    wrapped = ["\n".join([mark + "Some heading", mark.rstrip()] + [mark + x for x in textwrap.wrap(t, 45)] + [mark.rstrip(), mark + "Other text"]) for _, t in notices]
+    got = [(r.doc_id, r.family, r.match) for r in license_scan.scan(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(wrapped)], DOCS)).filter("confirmed").collect()]
+    assert {(i, f) for i, f, _ in got} >= {(i, f) for i, (f, _) in enumerate(notices)}
+    assert all(any(i == j and m == 1.0 for j, _, m in got) for i in range(len(notices)))
+
+
+def test_probabilities_of_unseen_variants_are_calibrated():
+    """Variants under another seed: of those called a family with probability p, about p or more belong to it."""
+    weights, biases = license_scan.fit()
+    p, right = [], []
+    for grams, family in license_scan._samples(99, license_scan.OTHER_PROSE, ["You get it under the {}."]):
+        scores = {f: biases[f] + sum(weights[f].get(g, 0) for g in grams) for f in weights}
+        best = max(scores, key=scores.get)
+        p.append(1 / (1 + np.exp(-scores[best])))
+        right.append(best == family)
+    p, right = np.array(p), np.array(right)
+    sure = p >= license_scan.MIN_PROBABILITY
+    assert right[sure].mean() >= p[sure].mean() - 0.05 and sure[right].mean() > 0.8
+    assert right[p < 0.2].mean() < 0.2
+
+
 def test_anchor_words_lose_no_family(spark):
     """Texts made of model words: the prefilter never changes a result."""
     weights, biases = license_scan.fit()
