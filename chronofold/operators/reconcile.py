@@ -1,8 +1,9 @@
 """Reconciliation: an order-dependent fold per (tenant, user, subject) that decides for each assertion add, reinforce, supersede, retract or noop.
 
 The fold is grouped by subject, the narrowest key closed under what it reads. It runs in applyInPandas; slots that arrived in order do
-not need it (operators.temporal.supersede_in_order). A subject's assertions fit a worker: what a fold needs of the past is only its
-open values, so state is bounded by the values that are open at once, not by the history.
+not need it (operators.temporal.supersede_in_order). Of the past a step looks only at the values of its predicate that are still
+open, kept apart from the rows stored, so its cost grows with the values open at once and not with the history. An assertion that
+names a row in `closes` decides nothing of its own: it ends or retires that row (`how`) from then on.
 """
 
 from __future__ import annotations
@@ -22,9 +23,20 @@ def _open_at(c: dict, t) -> bool:
 def fold(assertions: list[dict], functional: set[str]) -> list[dict]:
     """Assertions (id, predicate, object, polarity, valid_from, arrived_at, confidence) in order of arrival; the rows stored."""
     rows: list[dict] = []
+    by_id: dict[str, dict] = {}
+    live: dict[str, list[dict]] = {}
     for a in sorted(assertions, key=lambda a: (a["arrived_at"], a["id"])):
         t, one = a["arrived_at"], a["predicate"] in functional
-        slot = [c for c in rows if c["predicate"] == a["predicate"] and c["invalidated_at"] is None]
+        if a.get("closes"):
+            c = by_id.get(a["closes"])
+            if c is not None and c["invalidated_at"] is None:
+                if a["how"] == "retired":
+                    c["invalidated_at"], c["closed_by"] = t, a["id"]
+                elif c["valid_to"] is None or max(a["valid_from"], c["valid_from"]) < c["valid_to"]:
+                    c["valid_to"], c["closed_by"] = max(a["valid_from"], c["valid_from"]), a["id"]
+            continue
+        # what is over by now stays over: arrivals only move on
+        slot = live[a["predicate"]] = [c for c in live.get(a["predicate"], []) if _open_at(c, t)]
         new = {"id": a["id"], "predicate": a["predicate"], "object": a["object"], "action": "add", "valid_from": a["valid_from"], "valid_to": None, "invalidated_at": None, "closed_by": None, "obs_count": 1, "salience": 1.0, "confidence": a["confidence"]}
         if not a["predicate"] or (not a["object"] and a["polarity"] > 0):
             continue
@@ -34,6 +46,7 @@ def fold(assertions: list[dict], functional: set[str]) -> list[dict]:
                 c["valid_to"], c["closed_by"] = max(a["valid_from"], c["valid_from"]), a["id"]
             if hit:
                 rows.append(new | {"action": "retract", "valid_to": a["valid_from"], "invalidated_at": t})
+                by_id[a["id"]] = rows[-1]
             continue
         same = [c for c in slot if c["object"] == a["object"] and _open_at(c, t)]
         begun = [c for c in same if c["valid_from"] <= a["valid_from"]]
@@ -54,6 +67,8 @@ def fold(assertions: list[dict], functional: set[str]) -> list[dict]:
                 c["valid_to"], c["closed_by"] = a["valid_from"], a["id"]
                 new["action"] = "supersede"
         rows.append(new | ({"action": "dispute"} if weak else {}))
+        by_id[a["id"]] = rows[-1]
+        slot.append(rows[-1])
     return rows
 
 
@@ -69,7 +84,9 @@ def reconcile(assertions: DataFrame, functional: set[str]) -> DataFrame:
             out[c] = pd.to_datetime(out[c])
         return out
 
-    return assertions.select("subject", "id", "predicate", "object", "polarity", "valid_from", "arrived_at", "confidence").groupBy("subject").applyInPandas(one, SCHEMA)
+    told = ["subject", "id", "predicate", "object", "polarity", "valid_from", "arrived_at", "confidence"]
+    told += [c for c in ("closes", "how") if c in assertions.columns]
+    return assertions.select(*told).groupBy("subject").applyInPandas(one, SCHEMA)
 
 
 __all__ = ["fold", "reconcile", "F"]

@@ -83,3 +83,33 @@ def test_memory(spark, tmp_path):
     assert m.erase([gone]) == 0 and now(m.get_all()) == ["Acme"] and now(bob.get_all()) == ["rum"]
     with pytest.raises(ValueError):
         m.get_all(as_of="2024-01-01", valid_at="2024-01-01")
+
+
+def test_closing_by_id_and_in_bulk(spark, tmp_path):
+    m = Memory(spark, f"file://{tmp_path}/c", user="ann")
+    day = lambda n: dt.datetime(2024, 1, n)
+    m.remember([{"subject": "user", "predicate": "likes", "object": x, "valid_from": day(k), "arrived_at": day(k)} for k, x in enumerate(("green tea", "black tea", "rum"), 1)])
+    ids = {r.object: r.id for r in m.get_all().collect()}
+    now = lambda: sorted(r.object for r in m.get_all().collect())
+    assert m.get(ids["rum"]).count() == 1 and m.scope("bob").get(ids["rum"]).count() == 0
+    assert not m.scope("bob").delete(ids["rum"]) and not m.delete("cl_none") and now() == ["black tea", "green tea", "rum"]
+    assert m.delete(ids["rum"], reason="wrong") and now() == ["black tea", "green tea"]
+    assert m.get(ids["rum"]).first().invalidated_at is not None and m.delete(ids["rum"])
+    m.remember([{"subject": "user", "predicate": "likes", "object": "rum"}])
+    assert now() == ["black tea", "green tea", "rum"]
+    new = m.supersede(ids["black tea"], {"object": "white tea", "valid_from": day(20)})
+    assert m.supersede(ids["black tea"], {"object": "white tea", "valid_from": day(20)}) == new
+    assert now() == ["green tea", "rum", "white tea"] and m.get(ids["black tea"]).first().valid_to == day(20)
+    hits, token = m.matching("what tea is it", close="retired")
+    assert sorted(r.object for r in hits) == ["green tea", "white tea"]
+    for bad, how in ((token[:-1] + "x", "retired"), (token, "ended")):
+        with pytest.raises(PermissionError):
+            m.forget_matching(bad, how)
+    with pytest.raises(PermissionError):
+        m.scope("bob").forget_matching(token)
+    assert m.forget_matching(token) == 2 and now() == ["rum"]
+    with pytest.raises(LookupError):
+        m.forget_matching(token)
+    with pytest.raises(ValueError):
+        m.delete(new, reason=" ")
+    assert m.erase([ids["green tea"]]) == 0 and m.assertions().filter(F.col("closes") == ids["green tea"]).count() == 0
