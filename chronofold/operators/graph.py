@@ -86,3 +86,26 @@ def join_rate(claims: DataFrame) -> DataFrame:
     n = claims.agg(F.count(F.lit(1)).alias("n"))
     hit = claims.join(subjects, "tgt", "left_semi").agg(F.count(F.lit(1)).alias("hit"))
     return hit.withColumn("n", n.scalar()).select("hit", "n", F.round(F.col("hit") / F.col("n"), 6).alias("rate"))
+
+
+def edge_keys(nodes, predicates, directions):
+    """The edges of a path as stored, whichever way they were walked: source, predicate and target."""
+    hops = F.arrays_zip(F.slice(nodes, 1, F.size(predicates)).alias("a"), F.slice(nodes, 2, F.size(predicates)).alias("b"), predicates.alias("p"), directions.alias("d"))
+    return F.transform(hops, lambda x: F.when(x["d"], F.concat_ws("|", x["b"], x["p"], x["a"])).otherwise(F.concat_ws("|", x["a"], x["p"], x["b"])))
+
+
+def signature(nodes, keys):
+    """A path's identity by content: where it starts, and its edges."""
+    return F.concat_ws("\x1f", nodes[0], keys)
+
+
+def undirected(nodes, keys):
+    """The identity that a path and its mirror share: the lesser of both readings."""
+    return F.least(signature(nodes, keys), F.concat_ws("\x1f", F.element_at(nodes, -1), F.reverse(keys)))
+
+
+def gated(edges: DataFrame, seeds: DataFrame, depth: int, least: float = 0.0, **how) -> DataFrame:
+    """A walk, or no paths at all over a store whose edges do not join (join_rate at or under `least`): walking could find nothing but first hops."""
+    if (join_rate(edges).first().rate or 0.0) <= least:
+        return walk(edges, seeds, 1, **how).limit(0)
+    return walk(edges, seeds, depth, **how)

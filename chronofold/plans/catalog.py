@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronofold.plans import ranking, reading, relations, search, temporal, upkeep  # noqa: F401
+from chronofold.plans import lookups, ranking, reading, relations, search, temporal, upkeep  # noqa: F401
 from chronofold.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "states_asof"
