@@ -102,6 +102,13 @@ def tenant_of(owner: Column) -> Column:
 
 
 def unit_vector(v: Column) -> Column:
-    """A vector of length 1 in the same direction; null for one of length 0."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+    """A vector of length 1 in the same direction; null for one of length 0. Elements that are null stay so and add nothing to the length."""
+    square = lambda x: F.coalesce(x.cast("double") * x.cast("double"), F.lit(0.0))
+    return F.aggregate(v, F.lit(0.0), lambda a, x: a + square(x), lambda s: F.when(s > 0, F.transform(v, lambda x: x.cast("double") / F.sqrt(s))))
+
+
+def round_scaled(x: Column, digits: int) -> Column:
+    """A double rounded as C and SQL engines on doubles do it: the scaled number, halves away from zero, -0.0 for small negative ones.
+    Spark's own round goes by the decimal digits of the unscaled number and drops the sign of zero."""
+    scaled = x * 10.0**digits
+    return F.signum(scaled) * F.round(F.abs(scaled)) / 10.0**digits

@@ -187,4 +187,4 @@ def uncovered_periods(spark, sf_dir):
   SELECT id, list_transform(v, lambda x: round(x / norm, 6)) AS unit FROM n WHERE norm > 0""")
 def unit_vectors(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), K.unit_vector(F.col("embedding")).alias("unit"))
-    return rows.filter("unit IS NOT NULL").withColumn("unit", F.transform("unit", lambda x: F.round(x, 6)))
+    return rows.filter("unit IS NOT NULL").withColumn("unit", F.transform("unit", lambda x: K.round_scaled(x, 6)))
